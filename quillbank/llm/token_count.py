@@ -23,6 +23,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, utf8_len
 
@@ -180,6 +181,6 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", limit:
                 n = [counter.count(t) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64())], names=[*part.schema.names, "n_tokens"])
 
-    schema = source.schema.add("n_tokens", "long")
+    schema = T.StructType([*source.schema.fields, T.StructField("n_tokens", T.LongType())])
     counted = source.mapInArrow(run, schema)
     return counted.withColumn("n_bytes", utf8_len(F.col(text))).withColumn("over_limit", F.col("n_tokens") > limit)
