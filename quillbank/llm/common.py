@@ -56,3 +56,25 @@ def chunks(batch, column: int = 0, limit: int = CHUNK_BYTES):
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text: Column) -> Column:
+    """The words of a text, lower-cased A to Z; none for a null."""
+    return F.filter(F.split(F.coalesce(ascii_lower(text), F.lit("")), GAP), lambda w: w != "")
+
+
+def shingles(found: Column, n: int) -> Column:
+    """Array of structs of ``n`` neighbouring words each; empty where there are fewer words."""
+    count = F.greatest(F.size(found) - (n - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(found, i + 1, count).alias(f"w{i}") for i in range(n)])
+
+
+def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = 200_000) -> DataFrame:
+    """``left`` joined with a settled ``right``: broadcast if a count proves it to be small, else left to a shuffle join."""
+    if right.count() <= rows:
+        right = F.broadcast(right)
+    return left.join(right, on, how)

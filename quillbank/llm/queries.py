@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_count
-from .common import table
+from . import decontaminate, line_dedup, mixing, sharding, token_count
+from .common import table, utf8_len
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -22,5 +22,34 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op1_token_count": op1_token_count}
-ORACLES: dict[str, str] = {}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.assign(docs, 8)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.drop_recurring(docs)
+    kept = F.coalesce("kept_text", F.lit(""))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", utf8_len(kept).alias("kept_bytes"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_contained(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+QUERIES = {
+    "op1_token_count": op1_token_count,
+    "op3_sharding": op3_sharding,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_mixing": op10_mixing,
+}
+ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
