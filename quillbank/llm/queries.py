@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, sharding, token_count
+from . import decontaminate, line_dedup, mixing, near_dedup, sharding, token_count
 from .common import table, utf8_len
 
 
@@ -28,6 +28,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.drop_recurring(docs)
@@ -48,8 +52,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op3_sharding": op3_sharding,
+    "op4_near_dedup": op4_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op9_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_near_dedup": near_dedup.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
