@@ -32,16 +32,27 @@ WIDTH = 5
 THRESHOLD = 0.8
 
 
+def _hash_of(*parts: Column) -> Column:
+    return F.xxhash64(*[F.xxhash64(p) for p in parts])
+
+
+def _hashes(df: DataFrame, text: Column, *keys: Column, width: int) -> DataFrame:
+    """Keys and the hash h of every shingle place. Words are hashed before they are put side by side: rows of numbers only."""
+    numbers = F.transform(words(text), lambda w: F.xxhash64(w))
+    rows = df.select(*keys, F.inline(shingles(numbers, width)))
+    return rows.withColumn("h", F.xxhash64(*[F.col(f"w{i}") for i in range(width)])).drop(*[f"w{i}" for i in range(width)])
+
+
 def _exploded(df: DataFrame, text: Column, *keys: Column, width: int) -> DataFrame:
-    """One row per place of a shingle: keys, w0 .. and the hash h."""
+    """Keys, the words as ``shingle`` and their hash h of every shingle place."""
     rows = df.select(*keys, F.inline(shingles(words(text), width)))
     parts = [F.col(f"w{i}") for i in range(width)]
-    return rows.withColumn("h", F.xxhash64(*parts))
+    return rows.withColumn("h", _hash_of(*parts)).withColumn("shingle", F.struct(*parts)).drop(*[f"w{i}" for i in range(width)])
 
 
 def item_shingles(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     rows = _exploded(items, F.col(text), F.col(key).alias("item_id"), F.xxhash64(text).alias("item_print"), width=width)
-    return rows.select("item_id", "item_print", "h", F.struct(*[f"w{i}" for i in range(width)]).alias("shingle")).distinct()
+    return rows.select("item_id", "item_print", "h", "shingle").distinct()
 
 
 def sketches(parts: DataFrame, threshold: float) -> DataFrame:
@@ -62,14 +73,14 @@ def find_contained(
     parts = settle(item_shingles(items, item_key, item_text, width), "items")
     keys = [F.col(key).alias("doc_id"), F.xxhash64(text).alias("doc_print")]
     index = settle(sketches(parts, threshold), "sketches")
-    probed = small_join(_exploded(docs, F.col(text), *keys, width=width).select("doc_id", "doc_print", "h"), index, "h")
+    probed = small_join(_hashes(docs, F.col(text), *keys, width=width), index, "h")
     candidates = settle(probed.groupBy("doc_id", "doc_print", "item_id", "item_print").agg(F.count(F.lit(1)).alias("hits")).drop("hits"), "candidates")
     # Only documents that are candidates are cut up again.
     wanted = settle(candidates.select("doc_id", "doc_print").distinct(), "wanted")
     keyed = docs.select(*keys, F.col(text).alias("_text"))
     held = small_join(keyed, wanted, ["doc_id", "doc_print"], "left_semi")
     seen = _exploded(held, F.col("_text"), F.col("doc_id"), F.col("doc_print"), width=width)
-    seen = small_join(seen, parts, "h").filter(F.struct(*[f"w{i}" for i in range(width)]) == F.col("shingle"))
+    seen = small_join(seen, parts, ["h", "shingle"])
     shared = seen.groupBy("doc_id", "doc_print", "item_id", "item_print").agg(F.countDistinct("shingle").alias("n_shared"))
     sizes = parts.groupBy("item_id", "item_print").agg(F.count(F.lit(1)).alias("n_item"))
     found = shared.join(candidates, ["doc_id", "doc_print", "item_id", "item_print"], "left_semi").join(sizes, ["item_id", "item_print"])
