@@ -133,7 +133,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     covered = docs.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     held = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     # A document's blocks are consecutive, so a pair (source, block) meets its few documents in one task, however large the source is.
-    taken = covered.withColumn("held", held).join(times, ["place", "block"], "left").withColumn("got", F.col("held") * F.coalesce("times", F.lit(0)))
+    # Spark's estimate of the slots, which are exploded from one row per source, is far too low: without the hint it broadcasts them.
+    taken = covered.withColumn("held", held).join(times.hint("merge"), ["place", "block"], "left").withColumn("got", F.col("held") * F.coalesce("times", F.lit(0)))
     with_words = taken.groupBy("place", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum("got").alias("taken"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     without = docs.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
