@@ -31,11 +31,12 @@ WILD = "<*>"
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.regexp_replace(line, rf"^{GAP}|{GAP}$", ""), GAP)
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), GAP)
 
 
 def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+    # translate() leaves a token as it is if it has no digit, so the comparison needs no pattern.
+    return F.transform(tokens, lambda t: F.when(F.translate(t, "0123456789", "") != t, F.lit(WILD)).otherwise(t))
 
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
