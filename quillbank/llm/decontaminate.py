@@ -38,14 +38,16 @@ def _hash_of(*parts: Column) -> Column:
 
 def _hashes(df: DataFrame, text: Column, *keys: Column, width: int) -> DataFrame:
     """Keys and the hash h of every shingle place. Words are hashed before they are put side by side: rows of numbers only."""
-    numbers = F.transform(words(text), lambda w: F.xxhash64(w))
-    rows = df.select(*keys, F.inline(shingles(numbers, width)))
+    # The array is a column of its own first: written inside inline() it would be computed anew for every slice.
+    cut = df.select(*keys, F.transform(words(text), lambda w: F.xxhash64(w)).alias("_words"))
+    rows = cut.select(*cut.columns[:-1], F.inline(shingles(F.col("_words"), width)))
     return rows.withColumn("h", F.xxhash64(*[F.col(f"w{i}") for i in range(width)])).drop(*[f"w{i}" for i in range(width)])
 
 
 def _exploded(df: DataFrame, text: Column, *keys: Column, width: int) -> DataFrame:
     """Keys, the words as ``shingle`` and their hash h of every shingle place."""
-    rows = df.select(*keys, F.inline(shingles(words(text), width)))
+    cut = df.select(*keys, words(text).alias("_words"))
+    rows = cut.select(*cut.columns[:-1], F.inline(shingles(F.col("_words"), width)))
     parts = [F.col(f"w{i}") for i in range(width)]
     return rows.withColumn("h", _hash_of(*parts)).withColumn("shingle", F.struct(*parts)).drop(*[f"w{i}" for i in range(width)])
 
