@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, near_dedup, sharding, token_count
+from . import chat_format, decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, sharding, token_count
 from .common import table, utf8_len
 
 
@@ -39,6 +39,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", utf8_len(kept).alias("kept_bytes"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_near_dedup": op4_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
