@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, sharding, token_count
+from . import chat_format, decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, sharding, token_count, toxicity
 from .common import table, utf8_len
 
 
@@ -22,6 +22,13 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold=1)
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.assign(docs, 8)
@@ -62,6 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_count": op1_token_count,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_near_dedup": op4_near_dedup,
     "op6_line_dedup": op6_line_dedup,
