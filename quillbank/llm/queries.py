@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, sharding, token_count, toxicity
+from . import chat_format, decontaminate, embedding_dedup, line_dedup, mixing, near_dedup, passage_dedup, sharding, token_count, toxicity
 from .common import table, utf8_len
 
 
@@ -39,6 +39,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = passage_dedup.cut_repeats(docs)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.drop_recurring(docs)
@@ -72,6 +78,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_near_dedup": op4_near_dedup,
+    "op5_passage_dedup": op5_passage_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_chat_format": op8_chat_format,
