@@ -66,6 +66,7 @@ def lyndon_groups(text):
     below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=258))])
     children: dict[int, list] = {}
     alive = np.arange(n, dtype=np.int32)
+    zeros, firsts = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for c in np.unique(text)[:0:-1].tolist():
         if c == 0:
             break
@@ -77,7 +78,7 @@ def lyndon_groups(text):
         # Children with a greater first character are all ordered by now.
         kids = children.pop(c, None)
         if kids:
-            kid = np.sort(np.concatenate([k for k, _ in kids]))
+            kid = np.sort(np.concatenate(kids))
             parent = np.searchsorted(nodes, kid, side="right") - 1
             counts = np.bincount(parent, minlength=m)
             _split(group, rank[kid], np.cumsum(counts) - counts, counts, np.arange(m))
@@ -87,48 +88,71 @@ def lyndon_groups(text):
         after = alive[np.minimum(at + 1, len(alive) - 1)]
         left_of = before[np.searchsorted(chain, chain, side="left")]
         right_of = after[np.searchsorted(chain, chain, side="right") - 1]
-        rest = np.arange(m)
-        while len(rest):
-            g, own = group[rest], chain[rest]
-            k = len(rest)
-            turn = np.empty(k, bool)
-            turn[0] = True
-            turn[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
-            run = np.flatnonzero(turn)
-            run_g, run_chain = g[run], own[run]
-            rising = np.zeros(len(run), bool)
-            rising[:-1] = (run_chain[1:] == run_chain[:-1]) & (run_g[1:] > run_g[:-1])
-            limit = run_g[rising].max() if rising.any() else -1
-            done = g > limit
+        # Nodes in order of their groups; a group that starts at place p is order[p : p + size[p]].
+        order = np.argsort(group, kind="stable")
+        size = np.bincount(group, minlength=m)
+        where = np.arange(m)
+        follow = np.where(np.append(chain[1:], 0) == chain, where + 1, -1)
+        precede = np.where(np.concatenate([[0], chain[:-1]]) == chain, where - 1, -1)
+        taken = np.zeros(m + 1, bool)
+        left = m
+        while left:
+            # A look at the greatest nodes: those with a greater neighbour to the right (equals skipped) will be split yet.
+            low = group[order[max(left - 64 - 2 * int(left**0.5), 0)]]
+            top = order[low:left]
+            mine = group[top]
+            after = follow[top]
+            same = np.flatnonzero((after >= 0) & (group[after] == mine))
+            while len(same):
+                after[same] = follow[after[same]]
+                same = same[(after[same] >= 0) & (group[after[same]] == mine[same])]
+            rising = (after >= 0) & (group[after] > mine)
+            if rising.any():
+                limit = mine[rising].max()
+                low = limit + size[limit]
+            out = order[low:left]
+            left = low
+            rank[nodes[out]] = below[c] + group[out]
             # Next smaller: the neighbour to the right; previous smaller: the nearest to the left that stays.
-            follow = np.empty(k, np.int32)
-            follow[-1] = right_of[rest[-1]]
-            follow[:-1] = np.where(own[1:] == own[:-1], nodes[rest[1:]], right_of[rest[:-1]])
-            out = np.flatnonzero(done)
-            nss[nodes[rest[out]]] = follow[out]
-            rank[nodes[rest[out]]] = below[c] + g[out]
-            last = np.maximum.accumulate(np.where(done, -1, np.arange(k)))[out]
-            inner = last >= 0
-            inner[inner] = own[last[inner]] == own[out[inner]]
-            outer = out[~inner]
-            boundary = left_of[rest[outer]]
-            held = boundary >= 0
-            boundary, outer = boundary[held], outer[held]
-            codes = text[boundary]
-            for code in np.unique(codes).tolist():
-                if code:
-                    children.setdefault(code, []).append((nodes[rest[outer[codes == code]]], None))
-            if inner.any():
-                # Neighbours that stay: split their groups by what they got.
-                got, by = rest[last[inner]], rest[out[inner]]
-                counts = np.bincount(got, minlength=m)
-                rest = rest[~done]
-                touched = np.zeros(m + 1, bool)
-                touched[group[got]] = True
-                member = rest[touched[group[rest]]]
-                _split(group, group[by].copy(), np.cumsum(counts) - counts, counts, member)
-            else:
-                rest = rest[~done]
+            right = follow[out]
+            nss[nodes[out]] = np.where(right >= 0, nodes[right], right_of[out])
+            taken[out] = True
+            stay = precede[out]
+            chase = np.flatnonzero((stay >= 0) & taken[stay])
+            while len(chase):
+                stay[chase] = precede[stay[chase]]
+                chase = chase[(stay[chase] >= 0) & taken[stay[chase]]]
+            edge = (right < 0) | ~taken[right]
+            ends_at, back_to = right[edge], stay[edge]
+            follow[back_to[back_to >= 0]] = ends_at[back_to >= 0]
+            precede[ends_at[ends_at >= 0]] = back_to[ends_at >= 0]
+            outer = out[stay < 0]
+            boundary = left_of[outer]
+            outer, boundary = outer[boundary >= 0], boundary[boundary >= 0]
+            if len(outer):
+                codes = text[boundary]
+                for code in np.unique(codes).tolist():
+                    if code:
+                        children.setdefault(code, []).append(nodes[outer[codes == code]])
+            if (stay >= 0).any():
+                # Neighbours that stay: split their groups by what they got, in order of place.
+                by = np.sort(out[stay >= 0])
+                got = stay[stay >= 0][np.argsort(out[stay >= 0])]
+                start = np.flatnonzero(np.concatenate([[True], got[1:] != got[:-1]]))
+                counts, starts = zeros[:m], firsts[:m]
+                counts[got[start]] = np.diff(np.append(start, len(got)))
+                starts[got[start]] = start
+                heads = np.unique(group[got])
+                many = size[heads]
+                places = np.repeat(heads - np.cumsum(many) + many, many) + np.arange(many.sum())
+                member = order[places]
+                _split(group, group[by], starts, counts, member)
+                counts[got[start]] = 0
+                member = member[np.argsort(group[member], kind="stable")]
+                order[places] = member
+                own = group[member]
+                head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                size[own[head]] = np.diff(np.append(head, len(own)))
         alive = alive[~kind]
     return rank, nss
 

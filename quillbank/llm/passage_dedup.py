@@ -40,7 +40,7 @@ INNER = LENGTH - STEP
 #: Contexts of one anchor that one block may hold.
 HOT = 20_000
 #: Bytes over which one suffix array is built.
-BLOCK = 256 << 10
+BLOCK = 512 << 10
 
 _INDEX_BITS = 22
 _FACTOR = 0x9E3779B97F4A7C15
@@ -84,38 +84,46 @@ class Grams:
             h *= np.uint64(0xD6E8FEB86659FD93)
             return h ^ (h >> np.uint64(29))
 
-    def anchors(self, data):
-        """(place, hash, first window, last window, hashes of inner strings) of every anchor of a text of ``length`` bytes or more."""
+    def anchors(self, data, ends, light: bool = False):
+        """The anchors of texts that stand one after the other in ``data``, each up to its place in ``ends``.
+
+        (hash, text, place, first window, last window, hashes of inner strings); places in
+        ``data``. With ``light`` only the hashes.
+        """
         import numpy as np
 
+        wide = self.length - self.gram + 1
+        if len(data) < self.length:
+            none = np.zeros(0, np.int64)
+            return none if light else (none, none, none, none, none, np.zeros((0, -(-wide // self.step)), np.int64))
         sums = self.sums(data)
         n = len(data) - self.gram + 1
         h = self.hashes(sums, np.arange(n), self.gram)
-        # The least hash of each window: of its upper bits, then the leftmost.
-        wide = self.length - self.gram + 1
-        if n < 1 << _INDEX_BITS:
-            low = np.uint64((1 << _INDEX_BITS) - 1)
-            best = (h & ~low) | np.arange(n, dtype=np.uint64)
-            best = _sliding_least(best, wide) & low
-        else:
-            # Very long texts in overlapping pieces, each with places of its own.
-            size = (1 << _INDEX_BITS) - 1
-            low = np.uint64(size)
-            best = np.concatenate([
-                (_sliding_least((h[p : p + size + wide - 1][: size] & ~low) | np.arange(min(size, n - p), dtype=np.uint64), wide) & low) + np.uint64(p)
-                for p in range(0, n - wide + 1, size - wide + 1)
-            ])
-        best = best.astype(np.int64)
-        first = np.flatnonzero(np.diff(best, prepend=-1))
-        last = np.append(first[1:], len(best)) - 1
-        place = best[first]
+        # The least hash of each window: of its upper bits, then the leftmost. Very long
+        # texts go in overlapping pieces, each with places of its own.
+        size = 1 << _INDEX_BITS
+        low = np.uint64(size - 1)
+        best = np.concatenate([
+            (_sliding_least((h[p : p + size] & ~low) | np.arange(min(size, n - p), dtype=np.uint64), wide) & low).astype(np.int64) + p
+            for p in range(0, n - wide + 1, size - wide + 1)
+        ])
+        # Windows that lie in one text.
+        text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+        start = np.flatnonzero(text[: len(best)] == text[self.length - 1 :])
+        best = best[start]
+        turn = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)])) if len(start) else np.zeros(0, np.int64)
+        place = best[turn]
+        if light:
+            return h[place].view(np.int64)
+        first, last = start[turn], start[np.append(turn[1:], len(start)) - 1] if len(start) else turn
         inner = np.zeros((len(place), -(-wide // self.step)), np.int64)
         for k in range(inner.shape[1]):
             # Windows that start between step * k and step * (k + 1) - 1 bytes before the anchor all hold this string.
             at = place - self.step * k
-            held = (place - first >= self.step * k) & (place - last < self.step * (k + 1)) & (at >= 0) & (at + self.inner <= len(data))
+            held = (place - first >= self.step * k) & (place - last < self.step * (k + 1))
+            held &= (at >= 0) & (at + self.inner <= len(data))
             inner[:, k] = np.where(held, self.hashes(sums, np.where(held, at, 0), self.inner).view(np.int64) | 1, 0)
-        return place, h[place].view(np.int64), first, last, inner
+        return h[place].view(np.int64), text[place], place, first, last, inner
 
 
 def _sliding_least(values, width: int):
@@ -188,6 +196,35 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(own.alias("doc"), _print(text).alias("print"), F.col(text).alias("text"))
 
 
+def _long_enough(batches, length: int):
+    """(docs, prints, bytes of the texts one after the other, their ends) of texts of ``length`` bytes or more."""
+    import numpy as np
+
+    for whole in batches:
+        for batch in chunks(whole, 2, 1 << 20):
+            docs, marks, raws = [], [], []
+            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                raw = text.encode() if text else b""
+                if len(raw) >= length:
+                    docs.append(doc)
+                    marks.append(mark)
+                    raws.append(raw)
+            if raws:
+                yield np.array(docs), np.array(marks, np.int32), b"".join(raws), np.cumsum([len(r) for r in raws])
+
+
+def _anchor_hashes(keyed: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        grams = Grams(length, gram, step)
+        for _, _, raw, ends in _long_enough(batches, length):
+            yield pa.RecordBatch.from_arrays([pa.array(grams.anchors(np.frombuffer(raw, np.uint8), ends, light=True))], names=["anchor"])
+
+    return keyed.mapInArrow(run, "anchor long")
+
+
 def _anchor_rows(keyed: DataFrame, length: int, gram: int, step: int) -> DataFrame:
     def run(batches):
         import hashlib
@@ -195,28 +232,22 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int, step: int) -> DataFra
         import numpy as np
         import pyarrow as pa
 
+        digest = hashlib.blake2b
         grams = Grams(length, gram, step)
-        for whole in batches:
-            for batch in chunks(whole, 2):
-                parts = []
-                for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                    raw = text.encode() if text else b""
-                    if len(raw) < length:
-                        continue
-                    place, h, first, last, inner = grams.anchors(np.frombuffer(raw, np.uint8))
-                    digest = np.frombuffer(
-                        b"".join([hashlib.blake2b(raw[a : b + length], digest_size=8, key=(p - a).to_bytes(4, "little")).digest() for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True)]), np.int64
-                    )
-                    n = len(place)
-                    parts.append((h, digest, np.full(n, doc), np.full(n, mark, np.int32), first, last + length, (inner >> 32).astype(np.int32) | (inner != 0)))
-                if parts:
-                    h, digest, doc, mark, lo, hi, inner = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    # Only half of an inner hash goes on: it only has to thin out, and 0 still says none.
-                    bins = [pa.array(inner[:, k]) for k in range(inner.shape[1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(digest), pa.array(doc), pa.array(mark), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *bins], names=["anchor", "ctx", "doc", "print", "lo", "hi", *(f"v{k}" for k in range(len(bins)))])
+        for docs, marks, raw, ends in _long_enough(batches, length):
+            h, text, place, first, last, inner = grams.anchors(np.frombuffer(raw, np.uint8), ends)
+            base = (ends - np.diff(np.concatenate([[0], ends])))[text]
+            # A context is its bytes and the anchor's place in them.
+            offset = [n.to_bytes(4, "little") for n in range(length)]
+            at = (place - first).tolist()
+            ctx = np.frombuffer(b"".join([digest(raw[a : b + length], digest_size=8, key=offset[k]).digest() for k, a, b in zip(at, first.tolist(), last.tolist(), strict=True)]), np.int64)
+            # Only half of an inner hash goes on: it only has to thin out, and 0 still says none.
+            half = (inner >> 32).astype(np.int32) | (inner != 0)
+            columns = [h, ctx, docs[text], marks[text], (first - base).astype(np.int32), (last - base + length).astype(np.int32), (place - first).astype(np.int32), *half.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["anchor", "ctx", "doc", "print", "lo", "hi", "at", *(f"v{k}" for k in range(inner.shape[1]))])
 
     bins = ", ".join(f"v{k} int" for k in range(-(-(length - gram + 1) // step)))
-    return keyed.mapInArrow(run, f"anchor long, ctx long, {_NAME}, lo int, hi int, {bins}")
+    return keyed.mapInArrow(run, f"anchor long, ctx long, {_NAME}, lo int, hi int, at int, {bins}")
 
 
 def _cut_out(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -294,16 +325,19 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     keyed = _keyed(df, key, text)
     rows = _anchor_rows(keyed, length, gram, step)
     bins = [c for c in rows.columns if c.startswith("v")]
-    again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    again = _anchor_hashes(keyed, length, gram, step).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     shared = settle(rows.join(again, "anchor"), "shared")
-    contexts = shared.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "print", "lo", "hi", *bins)).alias("one"))
+    contexts = shared.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "print", "lo", "hi", "at", *bins)).alias("one"))
     contexts = settle(contexts.select("anchor", "ctx", "n", "one.*"), "contexts")
     whole = shared.join(contexts.filter("n > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("doc", "print", "lo", "hi")
     # Contexts that share an inner string with another context of their anchor.
     inner = contexts.select("anchor", "ctx", F.posexplode(F.array(*bins)).alias("k", "v")).filter("v <> 0")
     met = inner.groupBy("anchor", "k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "k", "v")
-    near = inner.join(met, ["anchor", "k", "v"], "left_semi").select("anchor", "ctx").distinct()
-    wanted = settle(contexts.join(near, ["anchor", "ctx"]).select("anchor", "doc", "print", "lo", "hi"), "wanted")
+    near = inner.join(met, ["anchor", "k", "v"], "left_semi").groupBy("anchor", "ctx").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    # Of a context only the windows between the first and the last step that is shared.
+    place = F.col("lo") + F.col("at")
+    lo, hi = F.greatest(F.col("lo"), place - step * (F.col("k1") + 1) + 1), F.least(F.col("hi"), place - step * F.col("k0") + length)
+    wanted = settle(contexts.join(near, ["anchor", "ctx"]).select("anchor", "doc", "print", lo.alias("lo"), hi.alias("hi")), "wanted")
     crowded = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
     marked = wanted.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     bytes_of = settle(_cut_out(marked, keyed), "bytes")
