@@ -23,6 +23,7 @@ ties, repeats and extra columns change nothing; an empty table gives an empty re
 from __future__ import annotations
 
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from .common import chunks
 
 WINDOW, STRIDE = 32, 16
 #: Labelled rows of each class at most: the bound of the sample that the network is fitted on.
-MOST_FIT = 2500
+MOST_FIT = 2000
 HIDDEN, ATTEND, LEARNED = 8, 8, 4
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 16
 LONG_WORD = 64
@@ -42,7 +43,7 @@ ROUNDS, BATCH, RATE = 4, 64, 0.01
 LEAST_STEPS = 40
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers between chunks.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 FIXED = 4
 DIM = FIXED + 2 * LEARNED
 
@@ -59,14 +60,16 @@ def core(word: str) -> str:
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of the character grams of length 3 to 5 of ``^word$``."""
-    w = f"^{word}$"
-    crc = zlib.crc32
-    return [crc(w[i : i + n].encode()) % GRAM_BUCKETS for n in (3, 4, 5) for i in range(len(w) - n + 1)] or [crc(w.encode()) % GRAM_BUCKETS]
+    """Buckets of the grams of 3 to 5 bytes of ``^word$``."""
+    w, crc, m = f"^{word}$".encode(), zlib.crc32, GRAM_BUCKETS - 1
+    n = len(w)
+    if n < 3:
+        return [crc(w) & m]
+    return [crc(w[i : i + k]) & m for k in (3, 4, 5) for i in range(n - k + 1)]
 
 
 class Vocabulary:
-    """Log-odds of words and of grams, from documents' distinct words."""
+    """Log-odds of words and of grams, from documents' distinct words (without the marks around them)."""
 
     def __init__(self, docs, labels):
         import numpy as np
@@ -74,16 +77,16 @@ class Vocabulary:
         total = [SMOOTH * 2, SMOOTH * 2]
         words: list[dict[str, int]] = [{}, {}]
         self_grams = np.full((2, GRAM_BUCKETS), SMOOTH)
-        known: dict[str, list[int]] = {}
+        known: dict[str, np.ndarray] = {}
         for doc, y in zip(docs, labels, strict=True):
             total[y] += 1
-            held = {core(w) for w in doc}
+            held = set(doc)
             for w in held:
                 words[y][w] = words[y].get(w, 0) + 1
                 if w not in known:
-                    known[w] = grams(w)
-            found = np.unique(np.fromiter((g for w in held for g in known[w]), np.int64))
-            self_grams[y, found] += 1
+                    known[w] = np.array(grams(w), np.uint16)
+            if held:
+                self_grams[y, np.unique(np.concatenate([known[w] for w in held]))] += 1
         base = np.log(total[0] / total[1])
         self.gram = (np.log(self_grams[1] / self_grams[0]) + base).astype(np.float32)
         every = {w: np.log((words[1].get(w, 0) + SMOOTH) / (words[0].get(w, 0) + SMOOTH)) + base for w in words[1].keys() | words[0].keys()}
@@ -91,19 +94,18 @@ class Vocabulary:
         self.word = {w: float(v) for w, v in every.items() if abs(v) > 0.7}
 
     def inputs(self, words):
-        """(fixed inputs, word buckets, grams of all words in a row, where each word's grams start) of raw words."""
+        """(fixed inputs, word buckets, grams of all words in a row, where each word's grams start) of words."""
         import numpy as np
 
         fixed = np.zeros((len(words), FIXED), np.float32)
-        bucket = np.zeros(len(words), np.int64)
-        flat, starts = [], np.zeros(len(words) + 1, np.int64)
-        for i, raw in enumerate(words):
-            w = core(raw)
+        bucket = np.zeros(len(words), np.int32)
+        flat, starts = array("H"), np.zeros(len(words) + 1, np.int64)
+        for i, w in enumerate(words):
             fixed[i, 0] = self.word.get(w, 0.0)
             bucket[i] = zlib.crc32(w.encode()) % WORD_BUCKETS
-            flat += grams(w)
+            flat.extend(grams(w))
             starts[i + 1] = len(flat)
-        flat = np.array(flat, np.int64)
+        flat = np.frombuffer(flat, np.uint16) if flat else np.zeros(0, np.uint16)
         if len(words):
             odds = self.gram[flat]
             n = np.diff(starts)
@@ -141,10 +143,13 @@ class Network:
         import numpy as np
 
         fixed, bucket, flat, starts = inputs
-        if not len(fixed):
-            return np.zeros((0, DIM), np.float32)
-        mean = np.add.reduceat(self.p["gram"][flat], starts[:-1]) / np.diff(starts)[:, None]
-        return np.concatenate([fixed, self.p["word"][bucket], mean.astype(np.float32)], axis=1)
+        out = np.empty((len(fixed), DIM), np.float32)
+        out[:, :FIXED], out[:, FIXED : FIXED + LEARNED] = fixed, self.p["word"][bucket]
+        for at in range(0, len(fixed), 1 << 14):
+            own = starts[at : at + (1 << 14) + 1]
+            sums = np.add.reduceat(self.p["gram"][flat[own[0] : own[-1]]], own[:-1] - own[0])
+            out[at : at + len(own) - 1, FIXED + LEARNED :] = sums / np.diff(own)[:, None]
+        return out
 
     def project(self, x):
         """What the words put into the gates of both directions: (n, 2, 3 * HIDDEN)."""
@@ -283,7 +288,9 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> tuple[Voca
 
     if len(set(labels)) < 2:
         return None
-    docs, y = [split(t) for t in texts], np.array(labels)
+    one: dict[str, str] = {}
+    # Words without the marks around them; equal ones are one object, as the sample is held in memory.
+    docs, y = [[one.get(w) or one.setdefault(w, core(w)) for w in split(t)] for t in texts], np.array(labels)
     rng = np.random.default_rng(seed)
     fold = rng.permutation(len(docs)) % 2
     for c in (0, 1):
@@ -347,21 +354,25 @@ class Scorer:
 
         self.vocabulary, self.net = vocabulary, net
         self.names: dict[str, int] = {}
+        self.cores: dict[str, int] = {}
         self.gates = np.zeros((1024, 2, 3 * HIDDEN), np.float32)
 
     def learn(self, words) -> None:
         import numpy as np
 
-        names = self.names
+        names, cores = self.names, self.cores
         fresh = [w for w in dict.fromkeys(words) if w not in names]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        plain = [core(w) for w in fresh]
+        new = [w for w in dict.fromkeys(plain) if w not in cores]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             rows = self.net.project(self.net.embed(self.vocabulary.inputs(part)))
-            n = len(names)
+            n = len(cores)
             while n + len(part) > len(self.gates):
                 self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
             self.gates[n : n + len(part)] = rows
-            names.update(zip(part, range(n, n + len(part)), strict=True))
+            cores.update(zip(part, range(n, n + len(part)), strict=True))
+        names.update(zip(fresh, map(cores.__getitem__, plain), strict=True))
 
     def scores(self, texts):
         """One score per text: that of its highest window."""
