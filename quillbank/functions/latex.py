@@ -308,29 +308,35 @@ TOKEN = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("type
 @F.pandas_udf(T.StringType())
 def parse_latex(column):
     """Office math of formulas, in Arrow batches; equal texts of a batch are read once."""
+    import pandas as pd
+
     known = {t: omml(parse(t)) for t in column.dropna().unique()}
-    return column.map(known)
+    return pd.Series([known.get(t) if isinstance(t, str) else None for t in column], dtype=object)
 
 
 @F.pandas_udf(COMPONENTS)
 def render_mixed(column):
     """Paragraph components of texts, in Arrow batches."""
+    import pandas as pd
+
     known = {t: [{"kind": k, "text": x, "xml": m} for k, x, m in components(t)] for t in column.dropna().unique()}
-    return column.map(lambda t: known[t] if t in known else [])
+    return pd.Series([known[t] if isinstance(t, str) else [] for t in column], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
 def converts(column):
     """Whether a text can be turned into paragraph components."""
 
+    import pandas as pd
+
     def sound(t):
         try:
-            components(t)
+            components(t if isinstance(t, str) else None)
         except Exception:  # noqa: BLE001  any failure is the finding
             return False
         return True
 
-    return column.map(sound)
+    return pd.Series([sound(t) for t in column], dtype=bool)
 
 
 @udtf(returnType=TOKEN)
