@@ -8,7 +8,7 @@ either direction; attention pools their states; a logistic unit scores the windo
 text's score is that of its highest window, and every window is scored: windows start
 every ``STRIDE`` words, each word is in two, and the last window reaches the end.
 
-Fitting happens on the driver, on at most ``MOST_FIT`` labelled rows of each class (those
+Fitting happens in one task, on at most ``MOST_FIT`` labelled rows of each class (those
 of least key hash): log-odds are counted on two folds and applied across them, so the
 network never trains on a word's own document; then, in rounds, the currently highest
 window of each document (and a random one of clean documents) is trained on by
@@ -402,9 +402,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fold: int | None = None):
+    """A fitted pair, or None. It is fitted in one task, as its sample has a fixed bound; only the model (some MB) visits the driver."""
+    import pickle
+
     # A key that repeats must not outgrow the bound.
-    rows = training_rows(docs, labels, key, text, label, fold).orderBy("key", "y", F.xxhash64("text")).limit(2 * MOST_FIT).collect()
-    return fit([r.text for r in rows], [r.y for r in rows])
+    rows = training_rows(docs, labels, key, text, label, fold).orderBy("key", "y", F.xxhash64("text")).limit(2 * MOST_FIT)
+
+    def run(batches):
+        import pyarrow as pa
+
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], names=["model"])
+
+    found = rows.select("text", "y").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def score(df: DataFrame, model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
