@@ -80,3 +80,29 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", **opt
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
     return joined.select(*kept, left.alias("kept_text"), F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).alias("n_lines"), F.size(gone).alias("n_dropped"))
+
+
+ORACLE = r"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+l AS (
+  SELECT doc_id, i, regexp_split_to_array(trim(parts[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS t
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)
+), m AS (SELECT doc_id, i, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS f FROM l WHERE len(t) >= 5),
+leaves AS (SELECT len(f) AS n, f[1:3] AS h FROM m GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+placed AS (SELECT m.* FROM m JOIN leaves ON len(f) = n AND f[1:3] = h),
+shapes AS (SELECT f, count(DISTINCT doc_id) AS docs FROM placed GROUP BY f),
+fields AS (SELECT f, docs, unnest(range(1, len(f) + 1)) AS place FROM shapes),
+support AS (SELECT len(f) AS n, f[1:3] AS h, place AS spot, f[place] AS token, sum(docs) AS support FROM fields GROUP BY ALL),
+told AS (
+  SELECT f, place, CASE WHEN place <= 3 OR support >= 5 THEN f[place] ELSE '<*>' END AS token
+  FROM fields JOIN support ON n = len(f) AND h = f[1:3] AND spot = place AND support.token = f[place]
+), templates AS (SELECT f, list(token ORDER BY place) AS template FROM told GROUP BY f),
+matched AS (SELECT doc_id, i, template FROM placed JOIN templates USING (f) WHERE 10 * len(list_filter(template, lambda x: x <> '<*>')) >= 6 * len(template)),
+recurring AS (SELECT template FROM matched GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
+gone AS (SELECT doc_id, list(i) AS g FROM matched JOIN recurring USING (template) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, parts, g, array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: g IS NULL OR NOT list_contains(g, i)), lambda i: parts[i]), chr(10)) AS kept
+  FROM cut LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, coalesce(len(parts), 0) AS n_lines, coalesce(len(g), 0) AS n_dropped, strlen(coalesce(kept, '')) AS kept_bytes, sha256(coalesce(kept, '')) AS kept_sha256 FROM kept
+"""

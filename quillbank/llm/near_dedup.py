@@ -21,9 +21,10 @@ grow alike, so ``BANDS`` bands of registers bring candidates together.
 So what can be lost is only a pair that shares no band at all: at the threshold 0.8 a
 chance of ``(1 - 0.8 ** 4) ** 32``, 5e-8, and less above it.
 
-Nulls and texts without words have an empty set and link with nothing. Ties, repeated
-rows and equal keys with different texts: rows are told apart by key and set; rows that
-share a key are reached together. A row without a key can't represent its class. An empty table gives an empty result. Extra columns
+Nulls and texts without words have an empty set and link with nothing. Rows that repeat wholly are
+equal sets. Where rows share a key but not a text, each is placed by its own set, and
+one of the texts stands for the key in comparisons. A row without a key can't represent
+its class. An empty table gives an empty result. Extra columns
 are ignored by ``near_duplicates``; ``keep_one`` returns the input's columns.
 """
 

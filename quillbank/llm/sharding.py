@@ -110,7 +110,7 @@ def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "tex
     records of the shard's earlier virtual slots (a table of ``N_VIRTUAL`` rows).
     Two passes: one over sizes for the map, one that places the rows.
     """
-    made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot")
+    made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot", "_rank", "_before")
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in made]
     content = F.coalesce(F.crc32(F.col(text)), F.lit(0).cast("long"))
@@ -127,12 +127,12 @@ def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "tex
         s = shard_of[v]
         placed.append((v, s, filled[s]))
         filled[s] += count.get(v, 0)
-    places = spark.createDataFrame(placed, "vslot int, shard int, before long")
+    places = spark.createDataFrame(placed, "vslot int, shard int, _before long")
     rank = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(key), F.col("text_crc32"), F.col("size")))
     return (
-        records.withColumn("rank", rank)
+        records.withColumn("_rank", rank)
         .join(F.broadcast(places), "vslot")  # N_VIRTUAL rows, whatever the input
-        .withColumn("slot", F.col("before") + F.col("rank") - 1)
+        .withColumn("slot", F.col("_before") + F.col("_rank") - 1)
         .select(
             *kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"),
             F.lit(None).cast("int").alias("grown_shard"), "vslot",
