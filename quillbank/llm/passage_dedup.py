@@ -40,7 +40,7 @@ INNER = LENGTH - STEP
 #: Contexts of one anchor that one block may hold.
 HOT = 20_000
 #: Bytes over which one suffix array is built.
-BLOCK = 512 << 10
+BLOCK = 1 << 20
 
 _INDEX_BITS = 22
 _FACTOR = 0x9E3779B97F4A7C15
@@ -240,7 +240,7 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int, step: int) -> DataFra
             # A context is its bytes and the anchor's place in them.
             offset = [n.to_bytes(4, "little") for n in range(length)]
             at = (place - first).tolist()
-            ctx = np.frombuffer(b"".join([digest(raw[a : b + length], digest_size=8, key=offset[k]).digest() for k, a, b in zip(at, first.tolist(), last.tolist(), strict=True)]), np.int64)
+            ctx = np.frombuffer(b"".join([digest(raw[a : b + length], digest_size=8, salt=offset[k]).digest() for k, a, b in zip(at, first.tolist(), last.tolist(), strict=True)]), np.int64)
             # Only half of an inner hash goes on: it only has to thin out, and 0 still says none.
             half = (inner >> 32).astype(np.int32) | (inner != 0)
             columns = [h, ctx, docs[text], marks[text], (first - base).astype(np.int32), (last - base + length).astype(np.int32), (place - first).astype(np.int32), *half.T]
@@ -326,7 +326,10 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     rows = _anchor_rows(keyed, length, gram, step)
     bins = [c for c in rows.columns if c.startswith("v")]
     again = _anchor_hashes(keyed, length, gram, step).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Written out, so that the join shuffles both sides for itself and Spark may split a crowded anchor.
+    again = settle(again, "again")
     shared = settle(rows.join(again, "anchor"), "shared")
+    discard(again)
     contexts = shared.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "print", "lo", "hi", "at", *bins)).alias("one"))
     contexts = settle(contexts.select("anchor", "ctx", "n", "one.*"), "contexts")
     whole = shared.join(contexts.filter("n > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("doc", "print", "lo", "hi")
