@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 #: Rounds after which the input is taken to be faulty; each round at least halves what is left of a chain.
 MOST_ROUNDS = 60
@@ -40,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
         if not state[0]:
             break
-        edges = settle(_stars(edges), "links")
+        following = settle(_stars(edges), "links")
+        discard(edges)
+        edges = following
     else:
         raise RuntimeError("components did not settle")
     named = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

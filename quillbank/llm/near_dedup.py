@@ -35,7 +35,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, settle, small_join
+from .common import chunks, discard, settle, small_join
 from .components import components
 
 M = 128
@@ -303,6 +303,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     reps = settle(classes.join(sketches, ["digest", "doc"]).select("doc", "n", "sketch").dropDuplicates(["doc", "n"]), "reps")
     spread = settle(bands(reps), "bands")
     buckets = spread.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # Written out, so that the join shuffles both sides for itself and Spark may split a crowded bucket.
+    buckets = settle(buckets, "buckets")
     members = settle(spread.join(buckets, "bucket").select("bucket", "doc", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("np")), "members")
     pairs = members.filter("doc <> pivot").filter(100 * F.least("n", "np") >= percent * F.greatest("n", "np")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     wanted = settle(members.select("doc").distinct(), "wanted")
@@ -315,6 +317,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     more = settle_buckets(members.select("bucket", "doc"), named, texts, width, percent)
     joined = named.filter("doc <> component").select(F.col("doc").alias("a"), F.col("component").alias("b"))
     last = components(joined.union(more))
+    discard(reps, spread, buckets, members, wanted, texts, links)
     class_of = classes.join(last.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     found = sketches.select("doc", "n", "digest").join(class_of, "digest", "left")
     least = F.coalesce("component", "doc")
