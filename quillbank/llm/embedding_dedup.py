@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import discard, settle
 from .components import components
 
 #: Rows that the pivots are picked from, and pivots at most: bounds whatever the input.
@@ -176,6 +176,8 @@ def _settle_unit(key: int, low, high, cosine: float):
 def _links(index: DataFrame, cosine: float) -> DataFrame:
     """(rep, links, least) by unit of work."""
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # Written out, so that the join shuffles both sides for itself and Spark may split a long list.
+    sizes = settle(sizes, "lists")
     placed = index.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "mult", "keys", "x")
@@ -228,7 +230,9 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     for dim, n in sizes.items():
         sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep", "digest")).select("v").limit(SAMPLE).collect()
         pivots[dim] = pick_pivots(unit(np.array([r.v for r in sample])), n_pivots(n))
-    found = settle(_links(settle(_index(classes, pivots), "index"), cosine), "links")
+    index = settle(_index(classes, pivots), "index")
+    found = settle(_links(index, cosine), "links")
+    discard(index)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     of_class = (
