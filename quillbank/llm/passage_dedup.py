@@ -336,6 +336,7 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     # Contexts that share an inner string with another context of their anchor.
     inner = contexts.select("anchor", "ctx", F.posexplode(F.array(*bins)).alias("k", "v")).filter("v <> 0")
     met = inner.groupBy("anchor", "k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "k", "v")
+    met = settle(met, "met")
     near = inner.join(met, ["anchor", "k", "v"], "left_semi").groupBy("anchor", "ctx").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
     # Of a context only the windows between the first and the last step that is shared.
     place = F.col("lo") + F.col("at")
@@ -345,7 +346,7 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     marked = wanted.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     bytes_of = settle(_cut_out(marked, keyed), "bytes")
     found = settle(whole.union(_by_suffix_arrays(bytes_of, length, block)).union(_by_digests(bytes_of, length)), "stretches")
-    discard(shared, contexts, wanted, bytes_of)
+    discard(shared, contexts, met, wanted, bytes_of)
     return found
 
 
