@@ -89,3 +89,19 @@ def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows:
     if right.count() <= rows:
         right = F.broadcast(right)
     return left.join(right, on, how)
+
+
+def in_a_process_of_its_own(f, *args):
+    """``f(*args)`` from a forked process, so that the memory it takes goes back when it is done; a Python worker that is used again would keep it."""
+    import multiprocessing
+    import pickle
+
+    context = multiprocessing.get_context("fork")
+    receive, send = context.Pipe(duplex=False)
+    process = context.Process(target=lambda: send.send_bytes(pickle.dumps(f(*args))))
+    process.start()
+    send.close()
+    try:
+        return pickle.loads(receive.recv_bytes())
+    finally:
+        process.join()

@@ -58,7 +58,7 @@ def split_words(text: str | None) -> list[bytes]:
 class Hasher:
     """64-bit hashes of words and of shingles; lives in one Python worker."""
 
-    def __init__(self, width: int, remembered: int = 500_000):
+    def __init__(self, width: int, remembered: int = 200_000):
         self.width, self.remembered, self.known = width, remembered, {}
 
     def word(self, w: bytes) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, in_a_process_of_its_own
 
 WINDOW, STRIDE = 32, 16
 #: Labelled rows of each class at most: the bound of the sample that the network is fitted on.
@@ -43,7 +43,7 @@ ROUNDS, BATCH, RATE = 4, 64, 0.01
 LEAST_STEPS = 40
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers between chunks.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 FIXED = 4
 DIM = FIXED + 2 * LEARNED
 
@@ -379,7 +379,7 @@ class Scorer:
         import numpy as np
 
         if len(self.names) > REMEMBERED:
-            self.__init__(self.vocabulary, self.net)
+            self.names, self.cores = {}, {}
         docs = [split(t) for t in texts]
         words = [w for d in docs for w in d]
         self.learn(words)
@@ -415,7 +415,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             texts += batch.column(0).to_pylist()
             y += batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(in_a_process_of_its_own(fit, texts, y))], pa.binary())], names=["model"])
 
     found = rows.select("text", "y").coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else None
