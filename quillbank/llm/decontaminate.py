@@ -15,7 +15,8 @@ Verification. For each candidate pair the distinct shingles of the item that occ
 the document are counted, compared word by word.
 
 Null, empty and shorter texts have no shingles and are never found, on either side.
-Equal items are found each by itself. Rows with the same key are searched apart and
+Equal items are found each by itself. Rows without a key are searched like others, under
+the null key. Rows with the same key are searched apart and
 reported once, with the largest containment. Extra columns are ignored by
 ``find_contained`` and kept by ``drop_contaminated``.
 """
@@ -78,14 +79,19 @@ def find_contained(
     probed = small_join(_hashes(docs, F.col(text), *keys, width=width), index, "h")
     candidates = settle(probed.groupBy("doc_id", "doc_print", "item_id", "item_print").agg(F.count(F.lit(1)).alias("hits")).drop("hits"), "candidates")
     # Only documents that are candidates are cut up again.
-    wanted = settle(candidates.select("doc_id", "doc_print").distinct(), "wanted")
+    # Keys may be null, and a null is a key like any other here.
+    wanted = settle(candidates.select(F.col("doc_id").alias("_d"), F.col("doc_print").alias("_p")).distinct(), "wanted")
     keyed = docs.select(*keys, F.col(text).alias("_text"))
-    held = small_join(keyed, wanted, ["doc_id", "doc_print"], "left_semi")
+    held = small_join(keyed, wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("doc_print") == F.col("_p")), "left_semi")
     seen = _exploded(held, F.col("_text"), F.col("doc_id"), F.col("doc_print"), width=width)
     seen = small_join(seen, parts, ["h", "shingle"])
     shared = seen.groupBy("doc_id", "doc_print", "item_id", "item_print").agg(F.countDistinct("shingle").alias("n_shared"))
-    sizes = parts.groupBy("item_id", "item_print").agg(F.count(F.lit(1)).alias("n_item"))
-    found = shared.join(candidates, ["doc_id", "doc_print", "item_id", "item_print"], "left_semi").join(sizes, ["item_id", "item_print"])
+    sizes = parts.groupBy(F.col("item_id").alias("_i"), F.col("item_print").alias("_ip")).agg(F.count(F.lit(1)).alias("n_item"))
+    own_item = F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_print") == F.col("_ip"))
+    asked = candidates.select(*[F.col(c).alias(f"_{c}") for c in candidates.columns])
+    own_pair = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("doc_print") == F.col("_doc_print"))
+    own_pair = own_pair & F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item_print") == F.col("_item_print"))
+    found = shared.join(asked, own_pair, "left_semi").join(sizes, own_item)
     found = found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
     # n_shared * 100 against a whole number: no rounding decides.
     found = found.filter(F.col("n_shared") * 100 >= F.round(F.lit(threshold * 100)).cast("long") * F.col("n_item"))
