@@ -173,15 +173,49 @@ def repeated_in(contexts: list[bytes], length: int = LENGTH) -> list[list[tuple[
     return found
 
 
-def merge_runs(runs) -> list[tuple[int, int]]:
-    """Overlapping and touching runs made one; in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def thin_out(grams: Grams, contexts: list[tuple[int, int, bytes]], fine: int) -> list[tuple[int, int, int]]:
+    """(index, first, last): of contexts (anchor, the anchor's place in the bytes, bytes) the parts that can hold a repeat.
+
+    The windows of a context are taken in steps of ``fine`` bytes before the anchor; those
+    of one step all hold one string of ``length - fine`` bytes, and if no other context of
+    the anchor has it there, none of them repeats.
+    """
+    import numpy as np
+
+    length = grams.length
+    size = np.array([len(c[2]) for c in contexts])
+    base = np.cumsum(size) - size
+    place = base + np.array([c[1] for c in contexts])
+    anchor = np.array([c[0] for c in contexts], np.int64).view(np.uint64)
+    sums = grams.sums(np.frombuffer(b"".join(c[2] for c in contexts), np.uint8))
+    steps = -(-(length - grams.gram + 1) // fine)
+    low, high = np.full(len(size), steps), np.full(len(size), -1)
+    for k in range(steps):
+        at = place - fine * k
+        own = np.flatnonzero(np.maximum(base, at - fine + 1) <= np.minimum(base + size - length, at))
+        if not len(own):
+            continue
+        with np.errstate(over="ignore"):
+            h = grams.hashes(sums, at[own], length - fine) ^ (anchor[own] * np.uint64(_FACTOR))
+        order = np.argsort(h, kind="stable")
+        twin = h[order][1:] == h[order][:-1]
+        hit = own[order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]]
+        low[hit] = np.minimum(low[hit], k)
+        high[hit] = k
+    kept = np.flatnonzero(high >= 0)
+    first = np.maximum(base, place - fine * high - fine + 1) - base
+    last = np.minimum(size, place - base - fine * low + length)
+    return [(i, int(first[i]), int(last[i])) for i in kept.tolist()]
+
+
+def merge_runs(lo, hi):
+    """Overlapping and touching runs made one: (starts, ends) in order."""
+    import numpy as np
+
+    order = np.lexsort((hi, lo))
+    lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(lo) else hi
+    turn = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.zeros(0, np.int64)
+    return lo[turn], hi[np.append(turn[1:], len(lo)) - 1] if len(lo) else hi
 
 
 _NAME = "doc long, print int"
@@ -251,50 +285,66 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int, step: int) -> DataFra
 
 
 def _cut_out(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The bytes of contexts: (anchor, hot, doc, print, lo, bytes)."""
-    by_doc = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("anchor", "hot", "lo", "hi")).alias("places"))
+    """The bytes of contexts: (anchor, hot, doc, print, lo, bytes, at)."""
+    by_doc = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("anchor", "hot", "lo", "hi", "at")).alias("places"))
     joined = keyed.join(by_doc, ["doc", "print"]).select("doc", "print", "text", "places")
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["anchor", "hot", "doc", "print", "lo", "bytes"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["anchor", "hot", "doc", "print", "lo", "bytes", "at"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
         for whole in batches:
             for batch in chunks(whole, 2, 1 << 20):
                 rows = []
                 for doc, mark, text, places in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                     raw = text.encode()
-                    rows += [(p["anchor"], p["hot"], doc, mark, p["lo"], raw[p["lo"] : p["hi"]]) for p in places]
+                    rows += [(p["anchor"], p["hot"], doc, mark, p["lo"], raw[p["lo"] : p["hi"]], p["at"]) for p in places]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return joined.mapInArrow(run, f"anchor long, hot boolean, {_NAME}, lo int, bytes binary")
+    return joined.mapInArrow(run, f"anchor long, hot boolean, {_NAME}, lo int, bytes binary, at int")
 
 
-def _by_suffix_arrays(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    dealt = contexts.filter("NOT hot").select("anchor", "doc", "print", "lo", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, block: int) -> DataFrame:
+    dealt = contexts.filter("NOT hot").select("anchor", "doc", "print", "lo", "bytes", "at").repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches):
         import pyarrow as pa
 
-        held, size, last = [], 0, None
+        grams = Grams(length, gram, step)
+        fine = max(step // 5, 1)
+        raws, raw_size, held, size, last = [], 0, [], 0, None
+
+        def thinned():
+            """What is left of the contexts of some whole anchors goes to the block."""
+            nonlocal raws, raw_size, size
+            if len(raws) > 1:
+                for i, a, b in thin_out(grams, [(r[0], r[5], r[4]) for r in raws], fine):
+                    _, doc, mark, lo, raw, _ = raws[i]
+                    held.append((doc, mark, lo + a, raw[a:b]))
+                    size += b - a
+            raws, raw_size = [], 0
 
         def settled():
+            nonlocal held, size
             rows = []
             for (doc, mark, lo, _), runs in zip(held, repeated_in([h[3] for h in held], length), strict=True):
                 rows += [(doc, mark, lo + a, lo + b) for a, b in runs]
+            held, size = [], 0
             cols = zip(*rows, strict=True) if rows else ((), (), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc", "print", "lo", "hi"])
 
         for batch in batches:
-            for anchor, doc, mark, lo, raw in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for anchor, doc, mark, lo, raw, at in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
                 # A block ends between two anchors.
-                if size >= block and anchor != last:
-                    yield settled()
-                    held, size = [], 0
-                held.append((doc, mark, lo, raw))
-                size, last = size + len(raw), anchor
+                if anchor != last and raw_size >= block:
+                    thinned()
+                    if size >= block:
+                        yield settled()
+                raws.append((anchor, doc, mark, lo, raw, at))
+                raw_size, last = raw_size + len(raw), anchor
+        thinned()
         if len(held) > 1:
             yield settled()
 
@@ -341,11 +391,11 @@ def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", l
     # Of a context only the windows between the first and the last step that is shared.
     place = F.col("lo") + F.col("at")
     lo, hi = F.greatest(F.col("lo"), place - step * (F.col("k1") + 1) + 1), F.least(F.col("hi"), place - step * F.col("k0") + length)
-    wanted = settle(contexts.join(near, ["anchor", "ctx"]).select("anchor", "doc", "print", lo.alias("lo"), hi.alias("hi")), "wanted")
+    wanted = settle(contexts.join(near, ["anchor", "ctx"]).select("anchor", "doc", "print", lo.alias("lo"), hi.alias("hi"), (place - lo).cast("int").alias("at")), "wanted")
     crowded = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
     marked = wanted.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     bytes_of = settle(_cut_out(marked, keyed), "bytes")
-    found = settle(whole.union(_by_suffix_arrays(bytes_of, length, block)).union(_by_digests(bytes_of, length)), "stretches")
+    found = settle(whole.union(_by_suffix_arrays(bytes_of, length, gram, step, block)).union(_by_digests(bytes_of, length)), "stretches")
     discard(shared, contexts, met, wanted, bytes_of)
     return found
 
@@ -354,29 +404,36 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", **option
     """``df`` with n_bytes, n_removed, n_spans, spans and kept (the bytes that are left)."""
     made = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
     kept = [c for c in df.columns if c not in made]
-    by_doc = repeated_stretches(df, key, text, **options).groupBy("doc", "print").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs"))
+    by_doc = repeated_stretches(df, key, text, **options).groupBy("doc", "print").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("_runs"))
     named = df.select(*kept, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_doc"), _print(text).alias("_print"))
     joined = named.join(by_doc.withColumnsRenamed({"doc": "_doc", "print": "_print"}), ["_doc", "_print"], "left").select(*kept, "_runs")
     at, runs_at = kept.index(text), len(kept)
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         for whole in batches:
             for batch in chunks(whole, at, 1 << 20):
                 n_bytes, n_removed, spans, left = [], [], [], []
-                for value, runs in zip(batch.column(at).to_pylist(), batch.column(runs_at).to_pylist(), strict=True):
+                # Runs come packed, start and end in one number: all of a batch are one array.
+                packed = batch.column(runs_at)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(packed), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                values = packed.flatten().to_numpy(zero_copy_only=False)
+                starts = np.concatenate([[0], ends[:-1]])
+                for value, p, q in zip(batch.column(at).to_pylist(), starts.tolist(), ends.tolist(), strict=True):
                     raw = value.encode() if value else b""
-                    merged = merge_runs((r["lo"], r["hi"]) for r in runs or ())
+                    lo, hi = merge_runs(values[p:q] >> 32, values[p:q] & 0xFFFFFFFF)
                     parts, done = [], 0
-                    for a, b in merged:
+                    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                         parts.append(raw[done:a])
                         done = b
                     parts.append(raw[done:])
                     n_bytes.append(len(raw))
-                    n_removed.append(sum(b - a for a, b in merged))
-                    spans.append([{"lo": a, "hi": b} for a, b in merged])
+                    n_removed.append(int((hi - lo).sum()))
+                    spans.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
                     left.append(b"".join(parts))
                 arrays = [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, span), pa.array(left, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:runs_at], *arrays], names=[*batch.schema.names[:runs_at], *made])
