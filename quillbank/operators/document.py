@@ -27,16 +27,20 @@ def header(student: Column, ts: Column) -> Column:
 def doc_plan(papers: DataFrame, bank: DataFrame) -> DataFrame:
     """(paper_id, block_no, kind, text, xml) of papers (id, title, student_name, question_ids, created_at).
 
-    Formulas are read last, in the one Python step, after the join has left only the
-    questions that stand on a paper.
+    Formulas are read in the one Python step, once for each question that stands on any
+    paper, and the blocks of all papers take them over.
     """
     listed = papers.select(F.col("id").alias("paper_id"), F.posexplode(S.ids_from_json(F.col("question_ids"))).alias("pos", "id"))
-    asked = listed.join(bank.select("id", "question_type", "difficulty", "question_text", "question_img", "answer_text"), "id")
+    wanted = bank.join(listed.select("id").distinct(), "id", "left_semi")
+    read = wanted.select(
+        "id", "question_type", "difficulty", "question_img",
+        F.to_json(latex.render(F.col("question_text"))).alias("question_xml"), F.to_json(latex.render(F.col("answer_text"))).alias("answer_xml"),
+    )
+    asked = listed.join(read, "id")
     number = F.col("pos") + 1
 
-    def block(no, kind: str, text: Column, body: Column | None = None) -> Column:
-        nothing = F.lit(None).cast("string")
-        return F.struct(no.cast("long").alias("block_no"), F.lit(kind).alias("kind"), text.alias("text"), (nothing if body is None else body).alias("body"))
+    def block(no, kind: str, text: Column, xml: Column | None = None) -> Column:
+        return F.struct(no.cast("long").alias("block_no"), F.lit(kind).alias("kind"), text.alias("text"), (F.lit("[]") if xml is None else xml).alias("xml"))
 
     front = papers.select(
         F.col("id").alias("paper_id"),
@@ -52,12 +56,11 @@ def doc_plan(papers: DataFrame, bank: DataFrame) -> DataFrame:
     label = S.question_label(number, F.col("question_type"), F.col("difficulty"))
     answer = F.concat(F.lit("第 "), number.cast("string"), F.lit(" 題答案："))
     each = F.concat(
-        F.array(block(at, "question", label, F.col("question_text")), block(at + (1 << 41), "answer", answer, F.col("answer_text"))),
+        F.array(block(at, "question", label, F.col("question_xml")), block(at + (1 << 41), "answer", answer, F.col("answer_xml"))),
         F.array_compact(F.array(image)),
-        F.coalesce(room, F.array().cast("array<struct<block_no:bigint,kind:string,text:string,body:string>>")),
+        F.coalesce(room, F.array().cast("array<struct<block_no:bigint,kind:string,text:string,xml:string>>")),
     )
-    blocks = front.union(asked.select("paper_id", F.explode(each).alias("b"))).select("paper_id", "b.*")
-    return blocks.withColumn("xml", F.to_json(latex.render(F.col("body")))).select("paper_id", "block_no", "kind", "text", "xml")
+    return front.union(asked.select("paper_id", F.explode(each).alias("b"))).select("paper_id", "b.*")
 
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
