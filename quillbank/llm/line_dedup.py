@@ -10,7 +10,8 @@ line of a recurring template is dropped, in all documents. All counts are over t
 whole table and do not depend on an order, so reruns and partitionings agree.
 
 Lines end at a line feed; tokens are runs of anything but the six white-space
-characters. Lines of fewer than ``min_tokens`` tokens, blank ones among them, are kept.
+characters. Lines of any length count, short ones too; blank lines, which have no token,
+are kept. ``min_tokens`` leaves shorter lines alone where a caller wants that.
 Null texts have no lines, empty texts one blank line. Rows that share a key are one
 document for the counts and keep their lines apart. Extra columns are kept by
 ``drop_recurring``, except those called like an output.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import GAP, settle, small_join
 
 DEPTH = 3
-MIN_TOKENS = 5
+MIN_TOKENS = 1
 MIN_DOCS = 5
 SIMILARITY = 0.6
 WILD = "<*>"
@@ -47,7 +48,8 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
 def recurring_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc, print, line_no) of every line whose template recurs."""
     leaf = F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, DEPTH)))
-    lines = _lines(df, key, text).filter(F.size("tokens") >= min_tokens).withColumn("leaf", leaf)
+    # A blank line is one empty token.
+    lines = _lines(df, key, text).filter((F.size("tokens") >= min_tokens) & (F.element_at("tokens", 1) != "")).withColumn("leaf", leaf)
     # First the leaves that enough documents reach: of a line, one number and its document are shuffled.
     leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
     leaves = settle(leaves, "leaves")

@@ -1,3 +1,5 @@
+import duckdb
+
 from quillbank.llm import line_dedup
 
 VARIABLE = "User 17 logged in from host {} today at noon"
@@ -29,3 +31,27 @@ def test_leaf_alone_is_no_template(spark):
 
 def test_empty(spark):
     assert line_dedup.drop_recurring(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_recur(spark):
+    rows = [(i, f"All rights reserved.\nLes.\n\nshort one {'abcdef'[i]}{'uvwxyz'[i]}\n{'abcdef'[i]}{'ghijkl'[i]}\nPage {i}") for i in range(6)]
+    rows += [(6, "\n\n"), (7, "only here"), (8, "Les.\nbare")]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        # The third field of a three-token line is part of its leaf, so "short one ..." is of one document only.
+        assert got[i].n_lines == 6 and got[i].n_dropped == 2 and got[i].kept_text == rows[i][1].split("\n", 2)[2]
+    assert got[6].kept_text == "\n\n" and got[7].kept_text == "only here" and got[8].kept_text == "bare"
+
+
+def test_against_sql_of_all_lengths(spark):
+    """The SQL leaves lines under 5 tokens alone: the operator equals it at ``min_tokens=5``, and equals the same SQL over all but blank lines."""
+    con = duckdb.connect()
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    docs = spark.read.parquet(path)
+    cut, whole = "WHERE len(t) >= 5", "WHERE t <> ['']"
+    assert line_dedup.ORACLE.count(cut) == 1
+    for sql, options in ((line_dedup.ORACLE, {"min_tokens": 5}), (line_dedup.ORACLE.replace(cut, whole), {})):
+        want = {r[0]: r[1:4] for r in con.execute(sql).fetchall()}
+        rows = line_dedup.drop_recurring(docs, **options).collect()
+        assert {r.doc_id: (r.n_lines, r.n_dropped, len((r.kept_text or "").encode())) for r in rows} == want
