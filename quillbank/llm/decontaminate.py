@@ -68,11 +68,11 @@ def sketches(parts: DataFrame, threshold: float) -> DataFrame:
     return sized.filter(F.col("rank") <= length).select("item_id", "item_print", "h").distinct()
 
 
-def find_contained(
+def _found(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     width: int = WIDTH, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every item found in a document."""
+    """Every pair of a document's text and an item found in it, told apart by keys and hashes of the texts."""
     parts = settle(item_shingles(items, item_key, item_text, width), "items")
     keys = [F.col(key).alias("doc_id"), F.xxhash64(text).alias("doc_print")]
     index = settle(sketches(parts, threshold), "sketches")
@@ -94,17 +94,22 @@ def find_contained(
     found = shared.join(asked, own_pair, "left_semi").join(sizes, own_item)
     found = found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
     # n_shared * 100 against a whole number: no rounding decides.
-    found = found.filter(F.col("n_shared") * 100 >= F.round(F.lit(threshold * 100)).cast("long") * F.col("n_item"))
+    return found.filter(F.col("n_shared") * 100 >= F.round(F.lit(threshold * 100)).cast("long") * F.col("n_item"))
+
+
+def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every item found in a document."""
+    found = _found(docs, items, key, text, **options)
     best = F.max(F.struct("containment", "n_shared", "n_item")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without those in which an item is found."""
-    hit = settle(find_contained(docs, items, key, text, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hit")
+    """``docs`` without those in whose own text an item is found."""
+    hit = settle(_found(docs, items, key, text, **options).select(F.col("doc_id").alias("_hit"), F.col("doc_print").alias("_hit_print")).distinct(), "hit")
     if hit.count() <= 200_000:
         hit = F.broadcast(hit)
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, F.col(key).eqNullSafe(F.col("_hit")) & (F.xxhash64(text) == F.col("_hit_print")), "left_anti")
 
 
 ORACLE = """

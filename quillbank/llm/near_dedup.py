@@ -8,7 +8,8 @@ the maxima of the registers, so sketches merge; equal registers become likelier
 grow alike, so ``BANDS`` bands of registers bring candidates together.
 
 1. Equal sets (same 128-bit digest of the sorted shingles) are one class, whatever their
-   number; the class's least key represents it.
+   number; it has a number of its own, and one of its rows represents it: that of the
+   least key, rows without a key last, then of the least hash of the text.
 2. Representatives that share a band are in one bucket. Each is paired with the bucket's
    least member; the pair's Jaccard similarity is estimated from both sketches jointly
    by maximum likelihood, given the exact set sizes, and pairs whose estimate is far
@@ -21,11 +22,12 @@ grow alike, so ``BANDS`` bands of registers bring candidates together.
 So what can be lost is only a pair that shares no band at all: at the threshold 0.8 a
 chance of ``(1 - 0.8 ** 4) ** 32``, 5e-8, and less above it.
 
-Nulls and texts without words have an empty set and link with nothing. Rows that repeat wholly are
-equal sets. Where rows share a key but not a text, each is placed by its own set, and
-one of the texts stands for the key in comparisons. A row without a key can't represent
-its class. An empty table gives an empty result. Extra columns
-are ignored by ``near_duplicates``; ``keep_one`` returns the input's columns.
+Nulls and texts without words have an empty set and link with nothing. Rows are told
+apart by number, key and text, never by key alone: rows that share a key, or have none, are
+compared and judged each by its own text. Of a component exactly one row is kept; its
+``component_id`` is its least key, null where none of its rows has one. Rows that repeat
+wholly are equal sets, and one of them stays. An empty table gives an empty result. Extra
+columns are ignored by ``near_duplicates``; ``keep_one`` returns the input's columns.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ def estimate(above, below, size_a, size_b):
 
 
 def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(doc, n, digest, sketch) of every row; one narrow pass."""
+    """(row, doc, print, n, digest, sketch) of every row; one narrow pass."""
 
     def run(batches):
         import hashlib
@@ -144,16 +146,19 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
         hasher, factors = Hasher(width), multipliers()
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 3):
                 n, digest, regs = [], [], []
-                for t in part.column(1).to_pylist():
+                for t in part.column(3).to_pylist():
                     h = hasher.shingles(t)
                     n.append(len(h))
                     digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                     regs.append(registers(h, factors).tobytes() if len(h) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["doc", "n", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["row", "doc", "print", "n", "digest", "sketch"]
+                )
 
-    return df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, digest binary, sketch binary")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "row long, doc long, print long, n long, digest binary, sketch binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -294,13 +299,15 @@ def settle_buckets(members: DataFrame, named: DataFrame, texts: DataFrame, width
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def _verdicts(df: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc, print, n, least, kept) of every row: its key, the hash of its text, and the least key of its component."""
+    # Numbers of rows and classes hold once they are written.
     sketches = settle(sketch(df, key, text, width), "sketches")
-    classes = sketches.filter("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"))
-    classes = settle(classes, "classes")
-    # A key that has several sets stands for one of them only; the others find each other through their own classes.
-    reps = settle(classes.join(sketches, ["digest", "doc"]).select("doc", "n", "sketch").dropDuplicates(["doc", "n"]), "reps")
+    order = F.struct(F.col("doc").isNull().alias("keyless"), "doc", "print", "row")
+    classes = sketches.filter("n > 0").groupBy("digest").agg(F.min(order).alias("first"))
+    classes = settle(classes.select("digest", F.monotonically_increasing_id().alias("id"), "first.doc", "first.print", "first.row"), "classes")
+    # From here to the links, doc is the number of a class.
+    reps = settle(classes.select("row", "id").join(sketches.filter("n > 0"), "row").select(F.col("id").alias("doc"), "n", "sketch"), "reps")
     spread = settle(bands(reps), "bands")
     buckets = spread.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     # Written out, so that the join shuffles both sides for itself and Spark may split a crowded bucket.
@@ -308,26 +315,46 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     members = settle(spread.join(buckets, "bucket").select("bucket", "doc", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("np")), "members")
     pairs = members.filter("doc <> pivot").filter(100 * F.least("n", "np") >= percent * F.greatest("n", "np")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     wanted = settle(members.select("doc").distinct(), "wanted")
-    source = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    texts = settle(small_join(source, wanted, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    named_rows = settle(classes.join(wanted.select(F.col("doc").alias("id")), "id").select("id", F.col("doc").alias("_key"), F.col("print").alias("_print")), "wanted-rows")
+    source = df.select(F.col(key).cast("long").alias("own"), F.xxhash64(text).alias("print"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    own = F.col("own").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print"))
+    texts = settle(small_join(source, named_rows, own).select(F.col("id").alias("doc"), "text").dropDuplicates(["doc"]), "texts")
     links = settle(verify(likely(pairs, reps, percent), texts, width, percent), "verified")
     first = components(links)
     named = wanted.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))
     named = settle(named, "named")
     more = settle_buckets(members.select("bucket", "doc"), named, texts, width, percent)
     joined = named.filter("doc <> component").select(F.col("doc").alias("a"), F.col("component").alias("b"))
-    last = components(joined.union(more))
-    discard(reps, spread, buckets, members, wanted, texts, links)
-    class_of = classes.join(last.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    found = sketches.select("doc", "n", "digest").join(class_of, "digest", "left")
-    least = F.coalesce("component", "doc")
-    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), least.alias("component_id"), F.coalesce(F.col("doc") == least, least.isNull()).alias("kept"))
+    last = settle(components(joined.union(more)).withColumnRenamed("node", "id"), "last")
+    discard(reps, spread, buckets, members, wanted, named_rows, texts, links)
+    # Of a component the first row of all its classes, by the same order as within a class.
+    heads = settle(last.join(classes, "id").groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.doc").alias("head"), F.col("first.row").alias("head_row")), "heads")
+    headed = small_join(last, heads, "component").select("id", "head", "head_row")
+    told = F.col("head_row").isNotNull()
+    class_of = classes.join(headed, "id", "left").select("digest", F.when(told, F.col("head")).otherwise(F.col("doc")).alias("least"), F.coalesce("head_row", "row").alias("best"))
+    found = sketches.select("row", "doc", "print", "n", "digest").join(class_of, "digest", "left")
+    least = F.when(F.col("best").isNull(), F.col("doc")).otherwise(F.col("least"))
+    return found.select("doc", "print", "n", least.alias("least"), F.coalesce(F.col("row") == F.col("best"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    found = _verdicts(df, key, text, width, percent)
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), "kept")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` with one document of each group of near duplicates: the one with the least key."""
-    gone = near_duplicates(df, key, text, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """``df`` with one row of each group of near duplicates: one with the least key."""
+    rows = _verdicts(df, key, text, **options).filter("n > 0").groupBy(F.col("doc").alias("_doc"), F.col("print").alias("_print"))
+    marked = settle(rows.agg(F.count(F.lit(1)).alias("_rows"), F.max("kept").alias("_kept")).filter("NOT _kept OR _rows > 1"), "marked")
+    own = F.col(key).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_print"))
+    single = df.join(marked, own, "left_anti")
+    again = marked.filter("_kept")
+    if again.isEmpty():
+        return single
+    # Rows of one key and text: the least by all columns stays.
+    least = df.join(again, own).groupBy("_doc", "_print").agg(F.min(F.struct(*df.columns)).alias("_least"))
+    return single.union(least.select("_least.*"))
 
 
 ORACLE = """

@@ -49,3 +49,10 @@ def test_empty_tables(spark):
     assert decontaminate.find_contained(a, b).count() == 0
     assert decontaminate.drop_contaminated(a, b).count() == 1
     assert decontaminate.drop_contaminated(a.limit(0), b).count() == 0
+
+
+def test_only_texts_with_a_hit_go(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g"), (None, "quite another text here now"), (1, "x a b c d e f"), (1, "clean text under the same key"), (1, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    left = {r.text for r in decontaminate.drop_contaminated(docs, items).collect()}
+    assert left == {"quite another text here now", "clean text under the same key", None}

@@ -75,3 +75,22 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_rows_that_share_a_key_or_have_none(spark):
+    words = [f"w{i}" for i in range(2000)]
+    text = [" ".join(words[100 * i : 100 * i + 60]) for i in range(12)]
+    near = [t + " more" for t in text]
+    rows = [
+        (1, text[0]), (None, text[0]), (None, text[1]), (None, None), (2, text[2]), (2, text[3]), (1, text[3]), (3, near[2]), (4, near[3]),
+        (None, text[4]), (None, near[4]), (5, text[5]), (5, text[5]), (5, text[6]), (None, text[7]), (None, text[7]),
+    ]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, extra int").repartition(3)
+    got = near_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 9
+    assert {r.doc_id: r.component_id for r in got if r.doc_id in (3, 4)} == {3: 2, 4: 1}
+    kept = [near_dedup.keep_one(d).collect() for d in (df, df.repartition(5))]
+    assert all(sorted(k, key=str) == sorted(kept[0], key=str) for k in kept)
+    held = sorted(((r.doc_id, r.text) for r in kept[0] if r.text not in (text[4], near[4])), key=str)
+    assert held == sorted([(1, text[0]), (None, text[1]), (None, None), (2, text[2]), (1, text[3]), (5, text[5]), (5, text[6]), (None, text[7])], key=str)
+    assert len(kept[0]) == 9 and {r.extra for r in kept[0]} >= {11, 14}
