@@ -15,11 +15,14 @@ grow alike, so ``BANDS`` bands of registers bring candidates together.
    by maximum likelihood, given the exact set sizes, and pairs whose estimate is far
    below the threshold go. The rest is verified on the full sets.
 3. Verified links give components. Buckets that still hold several components are
-   settled exactly: in each, every member outside the largest component (the bucket's
-   lead) is compared on full sets with all members of the lead component and all others
-   attached to it, in blocks of bounded size. No pair is emitted that isn't a link.
-
-So what can be lost is only a pair that shares no band at all: at the threshold 0.8 a
+   settled among bucket-mates: every member outside the component that has most members
+   there (the lead) is held against the others, in blocks of bounded size, first by
+   sketches, in the first band that a pair shares. Only texts with a likely partner of
+   another component are then compared, on full sets of words, again in blocks of bounded
+   size. No pair is emitted that isn't a link.
+
+Links between different sets are confirmed word by word; sets are counted and told to be
+equal by 64-bit hashes of their shingles, under a 128-bit digest. So what can be lost is only a pair that shares no band at all: at the threshold 0.8 a
 chance of ``(1 - 0.8 ** 4) ** 32``, 5e-8, and less above it.
 
 Nulls and texts without words have an empty set and link with nothing. Rows are told
@@ -48,7 +51,8 @@ RATE = 20.0
 Q = 65_533
 #: Standard errors of the estimate that a pair must lie below the threshold to go unverified.
 MARGIN = 6.0
-#: Bytes of text in a block of the exact comparison.
+#: Sketches that a unit of a crowded bucket holds, and bytes of text that a unit of the exact comparison holds.
+BLOCK_DOCS = 4096
 BLOCK_BYTES = 2 << 20
 
 
@@ -162,7 +166,7 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(doc, n, sketch) to (bucket, doc, n), ``BANDS`` rows each."""
+    """(doc, n, sketch) to (bucket, doc, n), ``BANDS`` rows each. A bucket is a hash whose remainder by ``BANDS`` is the band."""
 
     def run(batches):
         import numpy as np
@@ -179,6 +183,7 @@ def bands(reps: DataFrame) -> DataFrame:
                     for r in range(ROWS):
                         h = (h ^ regs[:, :, r]) * factor[r]
                         h ^= h >> np.uint64(31)
+                h = (h & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], names=["bucket", "doc", "n"]
                 )
@@ -211,6 +216,12 @@ def linked(size_a: int, size_b: int, shared: int, percent: int) -> bool:
     return 100 * shared >= percent * (size_a + size_b - shared)
 
 
+def full_set(text: str | None, width: int) -> frozenset:
+    """The shingles themselves, as tuples of words."""
+    words = split_words(text)
+    return frozenset(zip(*(words[i:] for i in range(min(width, len(words)))), strict=False))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of (a, b) those whose full sets reach the threshold."""
     one, two = (texts.select(F.col("doc").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
@@ -219,10 +230,6 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     def run(batches):
         import pyarrow as pa
 
-        def full(text):
-            words = split_words(text)
-            return frozenset(zip(*(words[i:] for i in range(min(width, len(words)))), strict=False))
-
         held, own = None, frozenset()
         for whole in batches:
             for batch in chunks(whole, 1):
@@ -230,8 +237,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                 kept = []
                 for i, (x, tx, ty) in enumerate(zip(a, batch.column(1), batch.column(3).to_pylist(), strict=True)):
                     if held != x:
-                        held, own = x, full(tx.as_py())
-                    other = full(ty)
+                        held, own = x, full_set(tx.as_py(), width)
+                    other = full_set(ty, width)
                     if linked(len(own), len(other), len(own & other), percent):
                         kept.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], names=["a", "b"])
@@ -239,64 +246,126 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
-def settle_buckets(members: DataFrame, named: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket, each component's least member standing for a linked one.
+def _sift(units: DataFrame, percent: int) -> DataFrame:
+    """Of the members of a unit those with a likely partner of another component, told by sketches alone.
 
-    members: (bucket, doc); named: (doc, component).
+    units: (bucket, block, asks, component, doc, n, sketch) with a block's stored members
+    before those that ask. A pair is looked at only in the first band it shares, and by
+    one of its two when both ask. Gives (bucket, block, asks, component, doc).
     """
-    placed = members.join(named, "doc")
-    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    order = F.struct(F.col("size"), -F.col("component"))
-    leads = shares.join(sizes, "component").groupBy("bucket").agg(F.max(F.struct(order.alias("o"), F.col("component").alias("lead"))).alias("best"), F.count(F.lit(1)).alias("k"))
-    leads = settle(leads.filter("k > 1").select("bucket", "best.lead"), "leads")
-    attached = placed.join(leads, "bucket").filter("component <> lead").select("lead", "doc").distinct()
-    attached = settle(attached, "attached")
-    core = attached.select("lead").distinct().join(named, F.col("lead") == F.col("component")).select("lead", "doc")
-    sized = texts.select("doc", F.octet_length("text").alias("bytes"))
-    group = core.union(attached).join(sized, "doc")
-    blocks = group.groupBy("lead").agg(F.ceil((F.sum("bytes") + 1) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
-    stored = core.union(attached).join(blocks, "lead").select("lead", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "doc")
-    asking = attached.join(blocks, "lead").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "doc")
-    rows = stored.union(asking).join(named.withColumnRenamed("component", "own"), "doc").join(texts, "doc")
-    rows = rows.select("lead", "block", "asks", "own", "doc", "text").repartition("lead", "block").sortWithinPartitions("lead", "block", "asks")
+    dealt = units.select("bucket", "block", "asks", "component", "doc", "n", "sketch").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks", "doc")
+    least = percent / 100 - MARGIN * math.sqrt(percent / 100 * (1 - percent / 100) / M)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        hasher = Hasher(width)
-        held, sets, owns, index = None, [], [], None
+        unit, stored, held = None, [], None
+        for batch in batches:
+            out: set[tuple] = set()
+            columns = [batch.column(c).to_pylist() for c in range(7)]
+            for bucket, block, asks, component, doc, n, sketch in zip(*columns, strict=True):
+                if unit != (bucket, block):
+                    unit, stored, held = (bucket, block), [], None
+                if not asks:
+                    stored.append((component, doc, n, sketch))
+                    continue
+                if not stored:
+                    continue
+                if held is None:
+                    names, sizes = (np.array([r[c] for r in stored], np.int64) for c in (0, 2))
+                    regs = np.frombuffer(b"".join(r[3] for r in stored), np.uint16).reshape(-1, M)
+                    held = (names, sizes, regs)
+                names, sizes, regs = held
+                able = np.flatnonzero((names != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                if not len(able):
+                    continue
+                same = regs[able] == np.frombuffer(sketch, np.uint16)
+                able, same = able[near := same.sum(axis=1) >= least * M], same[near]
+                if not len(able):
+                    continue
+                first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == bucket % BANDS
+                for i in able[first].tolist():
+                    out.add((bucket, block, 0, stored[i][0], stored[i][1]))
+                if first.any():
+                    out.add((bucket, block, 1, component, doc))
+            cols = zip(*sorted(out), strict=True) if out else ((),) * 5
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "asks", "component", "doc"])
+
+    return dealt.mapInArrow(run, "bucket long, block int, asks int, component long, doc long")
+
+
+def _compare(units: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, confirmed on full sets of shingles, word by word.
+
+    units: (bucket, block, part, asks, component, text), a part's stored texts before
+    those that ask. A part may hold texts that ask and nothing to ask of; it has no links.
+    """
+    keys = ["bucket", "block", "part"]
+    dealt = units.select(*keys, "asks", "component", "text").repartition(*keys).sortWithinPartitions(*keys, "asks")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        unit, ids, sets, names, held = None, {}, [], [], None
         for whole in batches:
             for batch in chunks(whole, 5):
-                found = set()
-                lead, block, asks, own, _, text = (batch.column(c).to_pylist() for c in range(6))
-                for i in range(batch.num_rows):
-                    if held != (lead[i], block[i]):
-                        held, sets, owns, index = (lead[i], block[i]), [], [], None
-                    mine = hasher.shingles(text[i])
-                    if not asks[i]:
-                        sets.append(mine)
-                        owns.append(own[i])
+                found: set[tuple[int, int]] = set()
+                columns = [batch.column(c).to_pylist() for c in range(6)]
+                for bucket, block, part, asks, component, text in zip(*columns, strict=True):
+                    if unit != (bucket, block, part):
+                        unit, ids, sets, names, held = (bucket, block, part), {}, [], [], None
+                    mine = full_set(text, width)
+                    if not asks:
+                        sets.append(np.array([ids.setdefault(s, len(ids)) for s in mine], np.int64))
+                        names.append(component)
                         continue
-                    if index is None:
-                        # All sets of the block as places in its sorted shingles.
+                    if not sets:
+                        continue
+                    if held is None:
                         size = np.array([len(s) for s in sets])
-                        index, flat = np.unique(np.concatenate(sets), return_inverse=True)
-                        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                        names = np.array(owns)
-                    at = np.searchsorted(index, mine)
-                    at = at[at < len(index)]
-                    at = at[np.isin(index[at], mine)]
-                    flag = np.zeros(len(index), np.int32)
+                        held = (np.concatenate(sets), np.cumsum(size) - size, size, np.array(names, np.int64), np.zeros(len(ids), np.int64))
+                    flat, starts, size, owner, flag = held
+                    at = [ids[s] for s in mine if s in ids]
                     flag[at] = 1
                     shared = np.add.reduceat(flag[flat], starts)
-                    near = (100 * shared >= percent * (size + len(mine) - shared)) & (names != own[i])
-                    found.update((own[i], int(c)) for c in np.unique(names[near]))
+                    flag[at] = 0
+                    near = (100 * shared >= percent * (size + len(mine) - shared)) & (owner != component)
+                    found.update((component, int(c)) for c in np.unique(owner[near]))
                 a, b = zip(*sorted(found), strict=True) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def settle_buckets(members: DataFrame, named: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, block_docs: int | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Links between components that share a bucket, each component's least member standing for a linked one.
+
+    members: (bucket, doc); named: (doc, component); reps: (doc, n, sketch). Settled.
+    """
+    block_docs, block_bytes = block_docs or BLOCK_DOCS, block_bytes or BLOCK_BYTES
+    placed = settle(members.join(named, "doc").select("bucket", "doc", "component"), "placed")
+    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    leads = shares.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("best"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"))
+    blocks = F.ceil(F.col("all") / F.lit(block_docs)).cast("int").alias("blocks")
+    leads = settle(leads.filter("k > 1").select("bucket", (-F.col("best.c")).alias("lead"), blocks), "leads")
+    # Bucket-mates only: members outside a bucket's lead ask all the bucket holds, block by block.
+    crowd = placed.join(leads, "bucket")
+    stored = crowd.select("bucket", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "component", "doc")
+    asking = crowd.filter("component <> lead").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "component", "doc")
+    flagged = settle(_sift(stored.union(asking).join(reps, "doc"), percent), "flagged").distinct()
+    sized = flagged.join(texts.select("doc", F.octet_length("text").alias("bytes")), "doc")
+    sized = settle(sized, "sized")
+    parts = sized.filter("asks = 0").groupBy("bucket", "block").agg(F.ceil((F.sum("bytes") + 1) / F.lit(block_bytes)).cast("int").alias("parts"))
+    spread = sized.join(parts, ["bucket", "block"])
+    own = F.array(F.pmod(F.xxhash64("doc", "block"), F.col("parts")).cast("int"))
+    part = F.explode(F.when(F.col("asks") == 0, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("part")
+    units = spread.select("bucket", "block", part, "asks", "component", "doc").join(texts, "doc")
+    links = settle(_compare(units, width, percent).distinct(), "bucket-links")
+    discard(placed, leads, sized)
+    return links
 
 
 def _verdicts(df: DataFrame, key: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
@@ -323,10 +392,10 @@ def _verdicts(df: DataFrame, key: str, text: str, width: int = 5, percent: int =
     first = components(links)
     named = wanted.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))
     named = settle(named, "named")
-    more = settle_buckets(members.select("bucket", "doc"), named, texts, width, percent)
+    more = settle_buckets(members.select("bucket", "doc"), named, reps, texts, width, percent)
     joined = named.filter("doc <> component").select(F.col("doc").alias("a"), F.col("component").alias("b"))
     last = settle(components(joined.union(more)).withColumnRenamed("node", "id"), "last")
-    discard(reps, spread, buckets, members, wanted, named_rows, texts, links)
+    discard(reps, spread, buckets, members, wanted, named_rows, named, texts, links, more)
     # Of a component the first row of all its classes, by the same order as within a class.
     heads = settle(last.join(classes, "id").groupBy("component").agg(F.min(order).alias("first")).select("component", F.col("first.doc").alias("head"), F.col("first.row").alias("head_row")), "heads")
     headed = small_join(last, heads, "component").select("id", "head", "head_row")

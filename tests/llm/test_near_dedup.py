@@ -94,3 +94,43 @@ def test_rows_that_share_a_key_or_have_none(spark):
     held = sorted(((r.doc_id, r.text) for r in kept[0] if r.text not in (text[4], near[4])), key=str)
     assert held == sorted([(1, text[0]), (None, text[1]), (None, None), (2, text[2]), (1, text[3]), (5, text[5]), (5, text[6]), (None, text[7])], key=str)
     assert len(kept[0]) == 9 and {r.extra for r in kept[0]} >= {11, 14}
+
+
+def crowded(rng, vocabulary, length, edits, copies):
+    """Near copies on a ring: neighbours are alike, those further apart share bands without being linked."""
+    base = rng.choices(vocabulary, k=length)
+    rows = []
+    for _ in range(copies):
+        at = rng.randrange(length - edits)
+        base = [*base[:at], *rng.choices(vocabulary, k=edits), *base[at + edits :]]
+        rows.append(" ".join(base))
+    return rows
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_crowded_buckets_in_small_blocks(spark, monkeypatch, width):
+    """Blocks of a few texts: some hold nothing but texts that ask, and texts outgrow their block."""
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 200)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [t for _ in range(4) for t in crowded(rng, vocabulary, 70, 6, 40)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=width).collect()}
+    assert got == brute(rows, width)
+
+
+def test_long_texts_that_share_bands_unlinked(spark):
+    """Texts beyond a block's bytes at pairwise similarity 0.69: in common buckets, never linked, with blocks that only ask."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(60_000)]
+    base = rng.sample(vocabulary, 40_000) * 6
+    rows = []
+    for i in range(4):
+        # Distinct shingles decide: tails of new words, a tenth and a bit of the distinct ones each.
+        rows.append((i, " ".join(base + [f"tail{i}x{j}" for j in range(8_900)])))
+    rows.append((9, rows[2][1] + " one more"))
+    assert min(len(t) for _, t in rows) > near_dedup.BLOCK_BYTES
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), width=2).collect()}
+    want = brute(rows, 2)
+    assert got == want and {c for _, c in want.values()} == {0, 1, 2, 3}
