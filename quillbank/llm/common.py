@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -48,6 +50,11 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def utf8_len(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -84,13 +91,35 @@ def shingles(found: Column, n: int) -> Column:
     return F.arrays_zip(*[F.slice(found, i + 1, count).alias(f"w{i}") for i in range(n)])
 
 
+def is_small(settled: DataFrame, rows: int = 200_000, most_bytes: int = 48 << 20) -> bool:
+    """Whether a settled table may be broadcast: both its rows and the bytes in them are counted."""
+    if settled.count() > rows:
+        return False
+    size = settled.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= most_bytes
+
+
 def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = 200_000) -> DataFrame:
-    """``left`` joined with a settled ``right``: broadcast if a count proves it to be small, else left to a shuffle join."""
-    if right.count() <= rows:
+    """``left`` joined with a settled ``right``: broadcast if its counted rows and bytes are few, else left to a shuffle join."""
+    if is_small(right, rows):
         right = F.broadcast(right)
     return left.join(right, on, how)
 
 
+def split_semi_join(left: DataFrame, keys: DataFrame, on: list[str], most: int = 50_000, least: int = 2_000) -> DataFrame:
+    """Rows of ``left`` (settled) whose key is in ``keys`` (settled; with ``n``, how many rows each key has).
+
+    Keys that hold more than one in ``most`` of the rows are at most ``most``, so they are
+    broadcast and their rows stay where they are, however many; the rest is shuffled.
+    """
+    bound = max(least, (keys.agg(F.sum("n")).first()[0] or 0) // most)
+    hot = keys.filter(F.col("n") > bound).select(*on)
+    if hot.isEmpty():
+        return left.join(keys.select(*on), on, "left_semi")
+    rest = left.join(F.broadcast(hot), on, "left_anti").join(keys.filter(F.col("n") <= bound).select(*on), on, "left_semi")
+    return left.join(F.broadcast(hot), on, "left_semi").union(rest)
+
+
 def in_a_process_of_its_own(f, *args):
     """``f(*args)`` from a forked process, so that the memory it takes goes back when it is done; a Python worker that is used again would keep it."""
     import multiprocessing

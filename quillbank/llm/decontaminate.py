@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle, shingles, small_join, words
+from .common import is_small, settle, shingles, small_join, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -107,7 +107,7 @@ def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without those in whose own text an item is found."""
     hit = settle(_found(docs, items, key, text, **options).select(F.col("doc_id").alias("_hit"), F.col("doc_print").alias("_hit_print")).distinct(), "hit")
-    if hit.count() <= 200_000:
+    if is_small(hit):
         hit = F.broadcast(hit)
     return docs.join(hit, F.col(key).eqNullSafe(F.col("_hit")) & (F.xxhash64(text) == F.col("_hit_print")), "left_anti")
 
