@@ -1,3 +1,5 @@
+import itertools
+
 import duckdb
 
 from quillbank.llm import line_dedup
@@ -43,15 +45,47 @@ def test_short_lines_recur(spark):
     assert got[6].kept_text == "\n\n" and got[7].kept_text == "only here" and got[8].kept_text == "bare"
 
 
-def test_against_sql_of_all_lengths(spark):
-    """The SQL leaves lines under 5 tokens alone: the operator equals it at ``min_tokens=5``, and equals the same SQL over all but blank lines."""
+def rows_of(df, **options):
+    return {r.doc_id: (r.n_lines, r.n_dropped, len((r.kept_text or "").encode())) for r in line_dedup.drop_recurring(df, **options).collect()}
+
+
+def test_against_sql(spark):
+    """All lines but blank ones, and with ``min_tokens`` the same SQL over longer lines only."""
     con = duckdb.connect()
     path = "/root/testdata/sf0.001/documents.parquet"
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
     docs = spark.read.parquet(path)
-    cut, whole = "WHERE len(t) >= 5", "WHERE t <> ['']"
-    assert line_dedup.ORACLE.count(cut) == 1
-    for sql, options in ((line_dedup.ORACLE, {"min_tokens": 5}), (line_dedup.ORACLE.replace(cut, whole), {})):
-        want = {r[0]: r[1:4] for r in con.execute(sql).fetchall()}
-        rows = line_dedup.drop_recurring(docs, **options).collect()
-        assert {r.doc_id: (r.n_lines, r.n_dropped, len((r.kept_text or "").encode())) for r in rows} == want
+    whole, cut = "WHERE t <> ['']", "WHERE len(t) >= 5"
+    assert line_dedup.ORACLE.count(whole) == 1
+    for sql, options in ((line_dedup.ORACLE, {}), (line_dedup.ORACLE.replace(whole, cut), {"min_tokens": 5})):
+        assert rows_of(docs, **options) == {r[0]: r[1:4] for r in con.execute(sql).fetchall()}
+
+
+def test_lines_full_of_digits(spark):
+    """A line that recurs word for word goes even if most of its tokens hold a digit; one that only shares their shape stays."""
+    rows = [(i, f"+49 30 1234 5678 2026-01-01 v1.2\nno {i}{i} x{i} 7{i} 8{i} 9{i}\nown words {'abcdefg'[i]}") for i in range(6)]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_dropped == 1 and got[i].kept_text == rows[i][1].split("\n", 1)[1] for i in range(6))
+    # Four documents are too few.
+    assert all(n == 0 for _, n, _ in rows_of(spark.createDataFrame(rows[:4], "doc_id long, text string")).values())
+
+
+def test_rows_without_a_key_are_one_document(spark):
+    rows = [(None, f"shared line of some words\nown {c}") for c in "abcdefg"] + [(1, "shared line of some words")]
+    got = line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 8 and all(r.n_dropped == 0 for r in got)
+    more = rows + [(i, "shared line of some words") for i in range(2, 5)]
+    got = line_dedup.drop_recurring(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert len(got) == 11 and all(r.n_dropped == 1 for r in got)
+
+
+def test_many_recurring_lines_in_one_text(spark):
+    """100,000 lines that all go: the work grows with the text, not with its square."""
+    import time
+
+    text = "\n".join(f"{w} recurs in every text {w}{v}" for w in "abcdefghij" for v in ["".join(p) for p in itertools.product("klmnopqrst", repeat=4)])
+    df = spark.createDataFrame([(i, text) for i in range(5)] + [(9, text + "\nkept alone")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.drop_recurring(df).collect()}
+    assert time.perf_counter() - began < 120
+    assert got[0].n_lines == 100_000 == got[0].n_dropped and got[9].kept_text == "kept alone"
