@@ -1,5 +1,8 @@
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillbank.llm import sharding
 
 
@@ -44,7 +47,54 @@ def test_rebalance_moves_little(spark, tmp_path):
     assert len(moved) < 1.05 * len(one) / 9
     back = sharding.rebalance(two, weights, 8)
     assert all(back[v] == two[v] for v in two if two[v] != 8)
-    sharding.store_map(sharding.map_frame(spark, one, weights, 1), str(tmp_path / "m"))
-    sharding.store_map(sharding.map_frame(spark, two, weights, 2), str(tmp_path / "m"))
+    for version, shard_of in ((1, one), (2, two)):
+        sharding.store_map(spark, shard_of, weights, str(tmp_path / "m"), version)
     assert sharding.load_map(spark, str(tmp_path / "m")) == two
     assert sharding.load_map(spark, str(tmp_path / "m"), 1) == one
+
+
+def plain(rows, shard_of):
+    """Slots by a plain loop: records in order of virtual slot, part, key, checksum and size."""
+    filled, found = {}, []
+    for r in sorted(rows, key=lambda r: (r.vslot, r.part, (r.doc_id is not None, r.doc_id), r.text_crc32, r["size"])):
+        s = shard_of[r.vslot]
+        found.append((r.doc_id, r["size"], s, filled.setdefault(s, 0)))
+        filled[s] += 1
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("part_rows", [50_000, 1])
+def test_against_a_plain_loop(spark, tmp_path, monkeypatch, part_rows):
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    monkeypatch.setattr(sharding, "N_VIRTUAL", 16)
+    df = docs(spark).repartition(3)
+    path = str(tmp_path / "map")
+    got = sharding.assign(df, 5, map_path=path)
+    most = got.groupBy("vslot").count().agg(F.max("count")).first()[0]
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id", "text_crc32"), F.lit(-(-most // part_rows)))
+    rows = got.withColumn("part", part).collect()
+    weights = {}
+    for r in rows:
+        weights[r.vslot] = weights.get(r.vslot, 0) + r["size"]
+    assert sharding.load_map(spark, path) == sharding.first_map(weights, 5)
+    assert sorted(((r.doc_id, r["size"], r.shard, r.slot) for r in rows), key=str) == plain(rows, sharding.load_map(spark, path))
+
+
+def test_versions_through_assign(spark, tmp_path):
+    path = str(tmp_path / "map")
+    first = {(r.doc_id, r.text_crc32): r.shard for r in sharding.assign(docs(spark), 4, map_path=path).collect()}
+    again = {(r.doc_id, r.text_crc32): r.shard for r in sharding.assign(docs(spark).repartition(5), 4, map_path=path).collect()}
+    assert again == first and sharding.versions(spark, path) == [1]
+    grown = sharding.assign(docs(spark), 5, map_path=path).collect()
+    assert sharding.versions(spark, path) == [1, 2]
+    one, two = (sharding.load_map(spark, path, v) for v in (1, 2))
+    assert all(two[v] in (one[v], 4) for v in one)
+    assert all(r.shard == two[r.vslot] for r in grown)
+    assert all(r.shard in (first[r.doc_id, r.text_crc32], 4) for r in grown) and any(r.shard == 4 for r in grown)
+    back = sharding.assign(docs(spark), 4, map_path=path).collect()
+    assert sharding.versions(spark, path) == [1, 2, 3] and {r.shard for r in back} == {0, 1, 2, 3}
+    for rows in (grown, back):
+        slots = {}
+        for r in rows:
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
