@@ -7,15 +7,19 @@ same document or another, is removed. Strings are judged on the input.
    grams the one of least hash, the leftmost of equals. Equal windows have equal anchors
    at equal offsets, so windows can be compared anchor by anchor, and each window is
    looked at under one anchor only. The windows of one anchor are neighbours; together
-   they are the anchor's context. Anchors whose hash occurs once are done with.
-2. Contexts that occur twice as a whole are repeats as a whole; no bytes need to move.
+   they are the anchor's context. Texts are gone over once for this; anchors whose hash
+   occurs once are done with.
+2. Contexts that occur twice as a whole, by a 128-bit digest under their anchor, are
+   repeats as a whole; no bytes need to move.
 3. Of the rest, those go on that share the inner ``INNER`` bytes of some of their windows
    with another context of their anchor: any window that repeats does. Their bytes are
    cut out of the texts and dealt out by anchor, and suffix arrays are built over blocks
    of them (``lyndon_suffix``). Suffixes that agree in their first ``LENGTH`` bytes stand
    side by side there; they are compared byte by byte.
-4. An anchor with more than ``HOT`` such contexts isn't put into one task: its windows are
-   counted one by one under 128-bit digests, which spreads them over all tasks.
+4. An anchor with more than ``HOT`` such contexts isn't put into one task: its contexts are
+   cut into pieces of ``STEP / FINE`` neighbouring windows, which are dealt out by the string that
+   all windows of a piece hold. Equal windows lie in pieces of one string, so suffix arrays
+   over the pieces of a string find all that those over the whole anchor would.
 5. The repeated stretches of each document are merged and cut out.
 
 Null texts are empty; texts of fewer than ``LENGTH`` bytes lose nothing. Repeated rows repeat each other. Rows
@@ -30,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, discard, settle
+from .common import chunks, discard, settle, small_join, split_semi_join
 
 LENGTH = 200
 GRAM = 50
 #: Windows of one anchor are told apart roughly by their offset, in steps of so many bytes.
 STEP = 50
 INNER = LENGTH - STEP
-#: Contexts of one anchor that one block may hold.
-HOT = 20_000
+#: Steps of pieces of contexts, in each ``STEP``.
+FINE = 5
+#: Contexts of one anchor that stay together; beyond, they are cut into pieces.
+HOT = 2_000
 #: Bytes over which one suffix array is built.
 BLOCK = 1 << 20
 
@@ -84,18 +90,17 @@ class Grams:
             h *= np.uint64(0xD6E8FEB86659FD93)
             return h ^ (h >> np.uint64(29))
 
-    def anchors(self, data, ends, light: bool = False):
+    def anchors(self, data, ends):
         """The anchors of texts that stand one after the other in ``data``, each up to its place in ``ends``.
 
-        (hash, text, place, first window, last window, hashes of inner strings); places in
-        ``data``. With ``light`` only the hashes.
+        (hash, text, place, first window, last window, hashes of inner strings); places in ``data``.
         """
         import numpy as np
 
         wide = self.length - self.gram + 1
         if len(data) < self.length:
             none = np.zeros(0, np.int64)
-            return none if light else (none, none, none, none, none, np.zeros((0, -(-wide // self.step)), np.int64))
+            return (none, none, none, none, none, np.zeros((0, -(-wide // self.step)), np.int64))
         sums = self.sums(data)
         n = len(data) - self.gram + 1
         h = self.hashes(sums, np.arange(n), self.gram)
@@ -113,8 +118,6 @@ class Grams:
         best = best[start]
         turn = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1)])) if len(start) else np.zeros(0, np.int64)
         place = best[turn]
-        if light:
-            return h[place].view(np.int64)
         first, last = start[turn], start[np.append(turn[1:], len(start)) - 1] if len(start) else turn
         inner = np.zeros((len(place), -(-wide // self.step)), np.int64)
         for k in range(inner.shape[1]):
@@ -247,18 +250,6 @@ def _long_enough(batches, length: int):
                 yield np.array(docs), np.array(marks, np.int32), b"".join(raws), np.cumsum([len(r) for r in raws])
 
 
-def _anchor_hashes(keyed: DataFrame, length: int, gram: int, step: int) -> DataFrame:
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        grams = Grams(length, gram, step)
-        for _, _, raw, ends in _long_enough(batches, length):
-            yield pa.RecordBatch.from_arrays([pa.array(grams.anchors(np.frombuffer(raw, np.uint8), ends, light=True))], names=["anchor"])
-
-    return keyed.mapInArrow(run, "anchor long")
-
-
 def _anchor_rows(keyed: DataFrame, length: int, gram: int, step: int) -> DataFrame:
     def run(batches):
         import hashlib
@@ -274,46 +265,62 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int, step: int) -> DataFra
             # A context is its bytes and the anchor's place in them.
             offset = [n.to_bytes(4, "little") for n in range(length)]
             at = (place - first).tolist()
-            ctx = np.frombuffer(b"".join([digest(raw[a : b + length], digest_size=8, salt=offset[k]).digest() for k, a, b in zip(at, first.tolist(), last.tolist(), strict=True)]), np.int64)
+            ctx = np.frombuffer(b"".join([digest(raw[a : b + length], digest_size=16, salt=offset[k]).digest() for k, a, b in zip(at, first.tolist(), last.tolist(), strict=True)]), np.int64).reshape(-1, 2)
             # Only half of an inner hash goes on: it only has to thin out, and 0 still says none.
             half = (inner >> 32).astype(np.int32) | (inner != 0)
-            columns = [h, ctx, docs[text], marks[text], (first - base).astype(np.int32), (last - base + length).astype(np.int32), (place - first).astype(np.int32), *half.T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["anchor", "ctx", "doc", "print", "lo", "hi", "at", *(f"v{k}" for k in range(inner.shape[1]))])
+            columns = [h, ctx[:, 0], ctx[:, 1], docs[text], marks[text], (first - base).astype(np.int32), (last - base + length).astype(np.int32), (place - first).astype(np.int32), *half.T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["anchor", "ctx", "ctx2", "doc", "print", "lo", "hi", "at", *(f"v{k}" for k in range(inner.shape[1]))])
 
     bins = ", ".join(f"v{k} int" for k in range(-(-(length - gram + 1) // step)))
-    return keyed.mapInArrow(run, f"anchor long, ctx long, {_NAME}, lo int, hi int, at int, {bins}")
+    return keyed.mapInArrow(run, f"anchor long, ctx long, ctx2 long, {_NAME}, lo int, hi int, at int, {bins}")
+
+
+def pieces(raw: bytes, at: int, anchor: int, length: int, gram: int, fine: int):
+    """(key, first byte, bytes, place of the string) of the pieces of a context: windows that start in one step of ``fine`` bytes before the anchor, under a hash of the string they all hold."""
+    import xxhash
+
+    for k in range(-(-(length - gram + 1) // fine)):
+        held = at - fine * k
+        first, last = max(0, held - fine + 1), min(len(raw) - length, held)
+        if first <= last:
+            key = xxhash.xxh64_intdigest(raw[held : held + length - fine], (anchor + k) % 2**64)
+            yield key - (1 << 64 if key >> 63 else 0), first, raw[first : last + length], held - first
 
 
-def _cut_out(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The bytes of contexts: (anchor, hot, doc, print, lo, bytes, at)."""
+def _cut_out(wanted: DataFrame, keyed: DataFrame, length: int, gram: int, fine: int) -> DataFrame:
+    """The bytes of contexts, those of crowded anchors in pieces: (anchor, doc, print, lo, bytes, at)."""
     by_doc = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("anchor", "hot", "lo", "hi", "at")).alias("places"))
     joined = keyed.join(by_doc, ["doc", "print"]).select("doc", "print", "text", "places")
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["anchor", "hot", "doc", "print", "lo", "bytes", "at"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+        names = ["anchor", "doc", "print", "lo", "bytes", "at"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
         for whole in batches:
             for batch in chunks(whole, 2, 1 << 20):
                 rows = []
                 for doc, mark, text, places in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                     raw = text.encode()
-                    rows += [(p["anchor"], p["hot"], doc, mark, p["lo"], raw[p["lo"] : p["hi"]], p["at"]) for p in places]
+                    for p in places:
+                        anchor, lo, held, at = p["anchor"], p["lo"], raw[p["lo"] : p["hi"]], p["at"]
+                        if p["hot"]:
+                            rows += [(key, doc, mark, lo + first, part, place) for key, first, part, place in pieces(held, at, anchor, length, gram, fine)]
+                        else:
+                            rows.append((anchor, doc, mark, lo, held, at))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return joined.mapInArrow(run, f"anchor long, hot boolean, {_NAME}, lo int, bytes binary, at int")
+    return joined.mapInArrow(run, f"anchor long, {_NAME}, lo int, bytes binary, at int")
 
 
-def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, block: int) -> DataFrame:
-    dealt = contexts.filter("NOT hot").select("anchor", "doc", "print", "lo", "bytes", "at").repartition("anchor").sortWithinPartitions("anchor")
+def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, fine: int, block: int) -> DataFrame:
+    dealt = contexts.select("anchor", "doc", "print", "lo", "bytes", "at").repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches):
         import pyarrow as pa
 
         grams = Grams(length, gram, step)
-        fine = max(step // 5, 1)
         raws, raw_size, held, size, last = [], 0, [], 0, None
 
         def thinned():
@@ -351,52 +358,39 @@ def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, bl
     return dealt.mapInArrow(run, f"{_NAME}, lo int, hi int")
 
 
-def _by_digests(contexts: DataFrame, length: int) -> DataFrame:
-    def run(batches):
-        import hashlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for doc, mark, lo, raw in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                n = len(raw) - length + 1
-                digest = np.frombuffer(b"".join([hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n)]), np.int64).reshape(-1, 2)
-                at = np.arange(lo, lo + n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.full(n, doc)), pa.array(np.full(n, mark, np.int32)), pa.array(at), pa.array(at + np.int32(length))], names=["h1", "h2", "doc", "print", "lo", "hi"])
-
-    windows = contexts.filter("hot").mapInArrow(run, f"h1 long, h2 long, {_NAME}, lo int, hi int")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    return windows.join(twice, ["h1", "h2"], "left_semi").select("doc", "print", "lo", "hi")
-
-
-def repeated_stretches(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def repeated_stretches(
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, hot: int | None = None, block: int = BLOCK
+) -> DataFrame:
     """(doc, print, lo, hi): stretches of bytes, overlapping, that together are all that repeats."""
     keyed = _keyed(df, key, text)
-    rows = _anchor_rows(keyed, length, gram, step)
+    hot, fine = HOT if hot is None else hot, max(step // FINE, 1)
+    rows = settle(_anchor_rows(keyed, length, gram, step), "anchors")
     bins = [c for c in rows.columns if c.startswith("v")]
-    again = _anchor_hashes(keyed, length, gram, step).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    # Written out, so that the join shuffles both sides for itself and Spark may split a crowded anchor.
-    again = settle(again, "again")
-    shared = settle(rows.join(again, "anchor"), "shared")
-    discard(again)
-    contexts = shared.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "print", "lo", "hi", "at", *bins)).alias("one"))
-    contexts = settle(contexts.select("anchor", "ctx", "n", "one.*"), "contexts")
-    whole = shared.join(contexts.filter("n > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("doc", "print", "lo", "hi")
+    again = settle(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
+    shared = settle(split_semi_join(rows, again, ["anchor"]), "shared")
+    discard(rows, again)
+    name = ["anchor", "ctx", "ctx2"]
+    # Rows of one context differ only in where they stand, so any of them will do; of fixed-width columns the first can be kept in a hash table.
+    one = [F.first(c).alias(c) for c in ("doc", "print", "lo", "hi", "at", *bins)]
+    contexts = settle(shared.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), *one), "contexts")
+    repeated = settle(contexts.filter("n > 1").select(*name, "n"), "repeated")
+    whole = settle(split_semi_join(shared, repeated, name).select("doc", "print", "lo", "hi"), "whole")
+    discard(shared, repeated)
     # Contexts that share an inner string with another context of their anchor.
-    inner = contexts.select("anchor", "ctx", F.posexplode(F.array(*bins)).alias("k", "v")).filter("v <> 0")
-    met = inner.groupBy("anchor", "k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "k", "v")
-    met = settle(met, "met")
-    near = inner.join(met, ["anchor", "k", "v"], "left_semi").groupBy("anchor", "ctx").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    inner = contexts.select(*name, F.posexplode(F.array(*bins)).alias("k", "v")).filter("v <> 0")
+    met = settle(inner.groupBy("anchor", "k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")
+    near = split_semi_join(inner, met, ["anchor", "k", "v"]).groupBy(*name).agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
     # Of a context only the windows between the first and the last step that is shared.
     place = F.col("lo") + F.col("at")
     lo, hi = F.greatest(F.col("lo"), place - step * (F.col("k1") + 1) + 1), F.least(F.col("hi"), place - step * F.col("k0") + length)
-    wanted = settle(contexts.join(near, ["anchor", "ctx"]).select("anchor", "doc", "print", lo.alias("lo"), hi.alias("hi"), (place - lo).cast("int").alias("at")), "wanted")
+    wanted = settle(contexts.join(near, name).select("anchor", "doc", "print", lo.alias("lo"), hi.alias("hi"), (place - lo).cast("int").alias("at")), "wanted")
+    discard(contexts, met)
     crowded = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
-    marked = wanted.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    bytes_of = settle(_cut_out(marked, keyed), "bytes")
-    found = settle(whole.union(_by_suffix_arrays(bytes_of, length, gram, step, block)).union(_by_digests(bytes_of, length)), "stretches")
-    discard(shared, contexts, met, wanted, bytes_of)
+    crowded = settle(crowded, "crowded")
+    marked = small_join(wanted, crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    bytes_of = settle(_cut_out(marked, keyed, length, gram, fine), "bytes")
+    found = settle(whole.union(_by_suffix_arrays(bytes_of, length, gram, step, fine, block)), "stretches")
+    discard(whole, wanted, crowded, bytes_of)
     return found
 
 
