@@ -1,17 +1,22 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Pivots are fitted on a bounded sample (``SAMPLE`` vectors of least key hash, of which a
-farthest-first walk picks the pivots; their number grows with the square root of the
-number of vectors up to ``MOST_PIVOTS``). Every vector is described by its ``NEAREST``
-pivots in order of nearness. Inverted lists hold the vectors by pairs of their nearest
-pivots, so two vectors meet in a list if and only if they share ``SHARED = 2`` pivots at
-least; each pair of vectors that meets is settled in the least list it shares, by its
-cosine in double precision. Vectors are indexed without exception.
+Pivots are fitted on a bounded sample (vectors of least key hash, twice as many as pivots,
+of which a farthest-first walk picks the pivots). Their number is twice the square root of
+the number of vectors, so that lists keep their length as the table grows, until the
+pivots fill ``PIVOT_BYTES``; beyond that, lists grow with the table and the work on them
+faster than it. Every vector is described by its permutation: its ``NEAREST`` pivots,
+nearest first. Inverted lists hold the vectors by pairs of these pivots, so two vectors
+meet in a list if and only if their count of shared pivots is ``SHARED = 2`` at least,
+whatever the order; each pair that meets is settled in the least list it shares. Vectors
+are indexed without exception.
 
 Equal vectors are one class before anything else, whatever their number; only classes
 are indexed. A long list is cut into blocks and every pair of blocks is a unit of work
-of bounded size; what comes out of a unit is a count of links per vector and one link to
-the least vector of its group, never the pairs.
+of bounded size. Postings carry no vectors but codes of one byte a component, with a bound
+of their error: in a unit, members that no partner can reach by that bound go. For the
+others the vectors are fetched, and links are told by the cosine in double precision. What
+comes out of a unit is a count of links per vector and one link to the least vector of its
+group, never the pairs.
 
 Null vectors, zero vectors and vectors that hold a null or a non-finite component link
 with nothing (n_links 0, a component of their own). Vectors of different lengths never
@@ -28,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, settle
+from .common import discard, settle, small_join
 from .components import components
 
-#: Rows that the pivots are picked from, and pivots at most: bounds whatever the input.
-SAMPLE = 4096
-MOST_PIVOTS = 2048
+#: Bytes of the pivots at most (the sample they are picked from: twice that), whatever the input.
+PIVOT_BYTES = 16 << 20
+LEAST_SAMPLE = 4096
 #: Nearest pivots that describe a vector, and how many of them two vectors must share to meet.
 NEAREST = 7
 SHARED = 2
@@ -42,8 +47,8 @@ COSINE = 0.9
 BLOCK = 1024
 
 
-def n_pivots(n: int) -> int:
-    return max(2 * NEAREST, min(MOST_PIVOTS, 2 * math.isqrt(max(n, 1))))
+def n_pivots(n: int, dim: int) -> int:
+    return max(2 * NEAREST, min(PIVOT_BYTES // (8 * dim), 2 * math.isqrt(max(n, 1))))
 
 
 def pick_pivots(sample, k: int):
@@ -76,7 +81,7 @@ def permutation(vectors, pivots):
 
 
 def list_keys(nearest, dim: int):
-    """Keys of the inverted lists a vector is in: one for each pair of its nearest pivots."""
+    """Keys of the inverted lists a vector is in: one for each pair of its nearest pivots, told from those of other lengths."""
     import numpy as np
 
     m = nearest.shape[1]
@@ -87,6 +92,37 @@ def list_keys(nearest, dim: int):
     return (np.int64(dim) << 44) | (np.minimum(a, b) << 22) | np.maximum(a, b)
 
 
+def settled_here(key: int, a, b):
+    """Whether pairs of vectors, given their nearest pivots, have this list as the least that they share."""
+    import numpy as np
+
+    if a.shape[1] < SHARED:
+        return np.ones(len(a), bool)
+    most = np.iinfo(np.int32).max
+    shared = np.sort(np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, most), axis=1)
+    return (shared[:, 0] == ((key >> 22) & 0x3FFFFF)) & (shared[:, 1] == (key & 0x3FFFFF))
+
+
+def encode(x):
+    """Unit vectors as rows of bytes: the error of the code, its step, and a signed byte per component."""
+    import numpy as np
+
+    step = np.maximum(np.abs(x).max(axis=1), 1e-30) / 127
+    code = np.rint(x / step[:, None]).astype(np.int8)
+    step32 = step.astype(np.float32)
+    error = np.linalg.norm(x - code * step32.astype(np.float64)[:, None], axis=1) * 1.0001 + 1e-6
+    return [e.tobytes() + t.tobytes() + c.tobytes() for e, t, c in zip(error.astype(np.float32), step32, code, strict=True)]
+
+
+def decode(rows):
+    """(errors, vectors) of encoded rows of one length."""
+    import numpy as np
+
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    return head[:, 0], raw[:, 8:].view(np.int8).astype(np.float32) * head[:, 1:2]
+
+
 def unit(rows):
     import numpy as np
 
@@ -109,35 +145,51 @@ def _classes(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame
     return keyed, classes
 
 
-def _index(classes: DataFrame, pivots: dict) -> DataFrame:
-    """A row per class and inverted list: key, rep, mult, all keys and the vector (packed)."""
+def _describe(classes: DataFrame, pivots) -> DataFrame:
+    """A row per class: rep, mult, its lists' keys, its nearest pivots and its code. pivots: a broadcast of arrays by length."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        schema = pa.schema([("rep", pa.int64()), ("mult", pa.int64()), ("keys", pa.list_(pa.int64())), ("near", pa.binary()), ("code", pa.binary())])
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 rep, mult, dim = (batch.column(c).to_numpy() for c in range(3))
-                for d in np.unique(dim):
-                    own = np.flatnonzero(dim == d)
-                    x = unit(batch.column(3).take(pa.array(own)).flatten().to_numpy().reshape(-1, d))
-                    keys = list_keys(permutation(x, pivots[int(d)]), int(d))
-                    m = keys.shape[1]
-                    packed = [r.tobytes() for r in x]
-                    lists = [r.tobytes() for r in np.sort(keys, axis=1)]
-                    every = np.repeat(np.arange(len(own)), m)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.ravel()), pa.array(rep[own][every]), pa.array(mult[own][every]), pa.array([lists[i] for i in every], pa.binary()), pa.array([packed[i] for i in every], pa.binary())],
-                        names=["key", "rep", "mult", "keys", "x"],
-                    )
-
-    return classes.select("rep", "mult", "dim", "v").mapInArrow(run, "key long, rep long, mult long, keys binary, x binary")
+                for d in np.unique(dim).tolist():
+                    every = np.flatnonzero(dim == d)
+                    held = pivots.value[d]
+                    # Few rows at a time where there are many pivots.
+                    rows = max(16, (1 << 21) // len(held))
+                    for own in np.split(every, range(rows, len(every), rows)):
+                        x = unit(batch.column(3).take(pa.array(own)).flatten().to_numpy().reshape(-1, d))
+                        near = permutation(x, held).astype(np.int32)
+                        keys = list_keys(near, d)
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(mult[own]), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in near], pa.binary()), pa.array(encode(x), pa.binary())], schema=schema)
+
+    return classes.select("rep", "mult", "dim", "v").mapInArrow(run, "rep long, mult long, keys array<long>, near binary, code binary")
+
+
+def _possible(key: int, low, high, cosine: float):
+    """Of a unit the members that may have a link there: (places in low, places in high). low and high: (nearest pivots, errors, decoded)."""
+    import numpy as np
+
+    same = high is None
+    high = low if same else high
+    slack = low[1][:, None] + high[1][None, :] + 3 * low[1][:, None] * high[1][None, :]
+    near = low[2] @ high[2].T + slack >= cosine - 1e-5
+    if same:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    kept = np.zeros(len(i), bool)
+    for at in range(0, len(i), 20_000):
+        kept[at : at + 20_000] = settled_here(key, low[0][i[at : at + 20_000]], high[0][j[at : at + 20_000]])
+    return np.unique(i[kept]), np.unique(j[kept])
 
 
 def _settle_unit(key: int, low, high, cosine: float):
-    """Links of one unit of work. low and high: (rep, mult, keys, x); high is None for a block with itself."""
+    """Links of one unit of work. low and high: (rep, mult, nearest pivots, unit vectors); high is None for a block with itself."""
     import numpy as np
 
     same = high is None
@@ -150,9 +202,7 @@ def _settle_unit(key: int, low, high, cosine: float):
         return None
     kept = np.zeros(len(i), bool)
     for at in range(0, len(i), 20_000):
-        a, b = low[2][i[at : at + 20_000]], high[2][j[at : at + 20_000]]
-        shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
-        kept[at : at + 20_000] = np.where(shared, a, np.iinfo(np.int64).max).min(axis=1) == key
+        kept[at : at + 20_000] = settled_here(key, low[2][i[at : at + 20_000]], high[2][j[at : at + 20_000]])
     i, j = i[kept], j[kept]
     if not len(i):
         return None
@@ -160,7 +210,9 @@ def _settle_unit(key: int, low, high, cosine: float):
     reps = np.concatenate([a, b])
     counts = np.concatenate([high[1][j], low[1][i]])
     ids, back = np.unique(reps, return_inverse=True)
-    links = np.bincount(back, weights=counts, minlength=len(ids)).astype(np.int64)
+    # Whole numbers all the way: a bincount with weights would count in floating point.
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, back, counts)
     # Least vector reachable inside the unit, so that one link per vector says it all.
     least, u, w = np.arange(len(ids)), back[: len(a)], back[len(a) :]
     while True:
@@ -173,15 +225,67 @@ def _settle_unit(key: int, low, high, cosine: float):
             return ids, links, ids[least]
 
 
-def _links(index: DataFrame, cosine: float) -> DataFrame:
+def _units(batches, columns: int):
+    """(key, lo, hi, rows of block lo, rows of block hi or None) of rows sorted by key, lo, hi; each row without these and own."""
+
+    def cut(head, rows):
+        key, lo, hi = head
+        low = [r[1:] for r in rows if r[0] == lo]
+        high = [r[1:] for r in rows if r[0] == hi] if hi != lo else None
+        if low and high != [] and (high is not None or len(low) > 1):
+            yield key, lo, hi, low, high
+
+    head, rows = None, []
+    for batch in batches:
+        for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(columns)), strict=True):
+            if (key, lo, hi) != head:
+                if len(rows) > 1:
+                    yield from cut(head, rows)
+                head, rows = (key, lo, hi), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield from cut(head, rows)
+
+
+def _links(described: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     """(rep, links, least) by unit of work."""
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    # Written out, so that the join shuffles both sides for itself and Spark may split a long list.
-    sizes = settle(sizes, "lists")
-    placed = index.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    postings = described.select(F.explode("keys").alias("key"), "rep", "near", "code")
+    crowded = described.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    crowded = settle(crowded.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lists")
+    # Only lists of more than one block need to know their size.
+    placed = small_join(postings, crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "mult", "keys", "x")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own")
+    unit_of = ["key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
+    rows = spread.select(*unit_of, "own", "rep", "near", "code").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own")
+
+    def sift(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def pack(rows):
+            return (np.frombuffer(b"".join(r[1] for r in rows), np.int32).reshape(len(rows), -1), *decode([r[2] for r in rows]))
+
+        out: list[tuple] = []
+        for key, lo, hi, low, high in _units(batches, 7):
+            i, j = _possible(key, pack(low), pack(high) if high else None, cosine)
+            if high is None:
+                out += [(key, lo, hi, lo, low[x][0]) for x in np.union1d(i, j).tolist()]
+            else:
+                out += [(key, lo, hi, lo, low[x][0]) for x in i.tolist()] + [(key, lo, hi, hi, high[x][0]) for x in j.tolist()]
+            if len(out) >= 4096:
+                yield batch_of(pa, out)
+                out = []
+        if out:
+            yield batch_of(pa, out)
+
+    def batch_of(pa, out):
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "lo", "hi", "own", "rep"])
+
+    likely = settle(rows.mapInArrow(sift, "key long, lo int, hi int, own int, rep long"), "likely")
+    exact = likely.join(described.select("rep", "mult", "near"), "rep").join(classes.select("rep", "v"), "rep")
+    exact = exact.select("key", "lo", "hi", "own", "rep", "mult", "near", "v").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own")
 
     def run(batches):
         import numpy as np
@@ -190,33 +294,17 @@ def _links(index: DataFrame, cosine: float) -> DataFrame:
         def pack(rows):
             return (
                 np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64),
-                np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(len(rows), -1),
-                np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(len(rows), -1),
+                np.frombuffer(b"".join(r[2] for r in rows), np.int32).reshape(len(rows), -1), unit([r[3] for r in rows]),
             )
 
-        def settled(head, rows):
-            key, lo, hi = head
-            low = [r[1:] for r in rows if r[0] == lo]
-            high = [r[1:] for r in rows if r[0] == hi] if hi != lo else None
-            if not low or high == [] or (high is None and len(low) < 2):
-                return None
-            return _settle_unit(key, pack(low), pack(high) if high is not None else None, cosine)
-
-        head, rows = None, []
-        for batch in batches:
-            out = []
-            for key, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-                if (key, lo, hi) != head:
-                    if len(rows) > 1 and (found := settled(head, rows)):
-                        out.append(found)
-                    head, rows = (key, lo, hi), []
-                rows.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["rep", "links", "least"])
-        if len(rows) > 1 and (found := settled(head, rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rep", "links", "least"])
-
-    return rows.mapInArrow(run, "rep long, links long, least long")
+        for key, _, _, low, high in _units(batches, 8):
+            found = _settle_unit(key, pack(low), pack(high) if high else None, cosine)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["rep", "links", "least"])
+
+    links = settle(exact.mapInArrow(run, "rep long, links long, least long"), "links")
+    discard(crowded, likely)
+    return links
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -228,11 +316,12 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     sizes = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     pivots = {}
     for dim, n in sizes.items():
-        sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep", "digest")).select("v").limit(SAMPLE).collect()
-        pivots[dim] = pick_pivots(unit(np.array([r.v for r in sample])), n_pivots(n))
-    index = settle(_index(classes, pivots), "index")
-    found = settle(_links(index, cosine), "links")
-    discard(index)
+        k = n_pivots(n, dim)
+        sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep", "digest")).select("v").limit(max(2 * k, LEAST_SAMPLE)).collect()
+        pivots[dim] = pick_pivots(unit(np.array([r.v for r in sample])), k)
+    described = settle(_describe(classes, df.sparkSession.sparkContext.broadcast(pivots)), "index")
+    found = _links(described, classes, cosine)
+    discard(described)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     of_class = (
