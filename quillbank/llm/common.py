@@ -31,11 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+def settle(df: DataFrame, label: str = "step", hashes: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Dictionaries are off, as most columns are keys or hashes that hardly repeat;
+    ``hashes`` says that the rest is such too, so that little can be gained by compressing.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw" if hashes else "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     # What the write shuffled can go; Spark removes it when the driver's garbage is collected.
     spark.sparkContext._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)

@@ -41,8 +41,8 @@ GRAM = 50
 #: Windows of one anchor are told apart roughly by their offset, in steps of so many bytes.
 STEP = 50
 INNER = LENGTH - STEP
-#: Steps of pieces of contexts, in each ``STEP``.
-FINE = 5
+#: Steps of pieces of contexts, and of the last look before suffix arrays, in each ``STEP``.
+FINE, FINEST = 5, 25
 #: Contexts of one anchor that stay together; beyond, they are cut into pieces.
 HOT = 2_000
 #: Bytes over which one suffix array is built.
@@ -314,20 +314,24 @@ def _cut_out(wanted: DataFrame, keyed: DataFrame, length: int, gram: int, fine:
     return joined.mapInArrow(run, f"anchor long, {_NAME}, lo int, bytes binary, at int")
 
 
-def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, fine: int, block: int) -> DataFrame:
-    dealt = contexts.select("anchor", "doc", "print", "lo", "bytes", "at").repartition("anchor").sortWithinPartitions("anchor")
+def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, block: int) -> DataFrame:
+    # Suffix arrays take far more time a byte than anything else, so tasks are told by bytes, and an explicit number isn't coalesced.
+    total = contexts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    tasks = max(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * block)))
+    dealt = contexts.select("anchor", "doc", "print", "lo", "bytes", "at").repartition(tasks, "anchor").sortWithinPartitions("anchor")
 
     def run(batches):
         import pyarrow as pa
 
         grams = Grams(length, gram, step)
+        finest = max(step // FINEST, 1)
         raws, raw_size, held, size, last = [], 0, [], 0, None
 
         def thinned():
             """What is left of the contexts of some whole anchors goes to the block."""
             nonlocal raws, raw_size, size
             if len(raws) > 1:
-                for i, a, b in thin_out(grams, [(r[0], r[5], r[4]) for r in raws], fine):
+                for i, a, b in thin_out(grams, [(r[0], r[5], r[4]) for r in raws], finest):
                     _, doc, mark, lo, raw, _ = raws[i]
                     held.append((doc, mark, lo + a, raw[a:b]))
                     size += b - a
@@ -364,32 +368,32 @@ def repeated_stretches(
     """(doc, print, lo, hi): stretches of bytes, overlapping, that together are all that repeats."""
     keyed = _keyed(df, key, text)
     hot, fine = HOT if hot is None else hot, max(step // FINE, 1)
-    rows = settle(_anchor_rows(keyed, length, gram, step), "anchors")
+    rows = settle(_anchor_rows(keyed, length, gram, step), "anchors", hashes=True)
     bins = [c for c in rows.columns if c.startswith("v")]
-    again = settle(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
-    shared = settle(split_semi_join(rows, again, ["anchor"]), "shared")
+    again = settle(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again", hashes=True)
+    shared = settle(split_semi_join(rows, again, ["anchor"]), "shared", hashes=True)
     discard(rows, again)
     name = ["anchor", "ctx", "ctx2"]
     # Rows of one context differ only in where they stand, so any of them will do; of fixed-width columns the first can be kept in a hash table.
     one = [F.first(c).alias(c) for c in ("doc", "print", "lo", "hi", "at", *bins)]
-    contexts = settle(shared.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), *one), "contexts")
-    repeated = settle(contexts.filter("n > 1").select(*name, "n"), "repeated")
-    whole = settle(split_semi_join(shared, repeated, name).select("doc", "print", "lo", "hi"), "whole")
+    contexts = settle(shared.groupBy(*name).agg(F.count(F.lit(1)).alias("n"), *one), "contexts", hashes=True)
+    repeated = settle(contexts.filter("n > 1").select(*name, "n"), "repeated", hashes=True)
+    whole = settle(split_semi_join(shared, repeated, name).select("doc", "print", "lo", "hi"), "whole", hashes=True)
     discard(shared, repeated)
     # Contexts that share an inner string with another context of their anchor.
     inner = contexts.select(*name, F.posexplode(F.array(*bins)).alias("k", "v")).filter("v <> 0")
-    met = settle(inner.groupBy("anchor", "k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met")
+    met = settle(inner.groupBy("anchor", "k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "met", hashes=True)
     near = split_semi_join(inner, met, ["anchor", "k", "v"]).groupBy(*name).agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
     # Of a context only the windows between the first and the last step that is shared.
     place = F.col("lo") + F.col("at")
     lo, hi = F.greatest(F.col("lo"), place - step * (F.col("k1") + 1) + 1), F.least(F.col("hi"), place - step * F.col("k0") + length)
-    wanted = settle(contexts.join(near, name).select("anchor", "doc", "print", lo.alias("lo"), hi.alias("hi"), (place - lo).cast("int").alias("at")), "wanted")
+    wanted = settle(contexts.join(near, name).select("anchor", "doc", "print", lo.alias("lo"), hi.alias("hi"), (place - lo).cast("int").alias("at")), "wanted", hashes=True)
     discard(contexts, met)
     crowded = wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor", F.lit(True).alias("hot"))
     crowded = settle(crowded, "crowded")
     marked = small_join(wanted, crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     bytes_of = settle(_cut_out(marked, keyed, length, gram, fine), "bytes")
-    found = settle(whole.union(_by_suffix_arrays(bytes_of, length, gram, step, fine, block)), "stretches")
+    found = settle(whole.union(_by_suffix_arrays(bytes_of, length, gram, step, block)), "stretches")
     discard(whole, wanted, crowded, bytes_of)
     return found
 
