@@ -376,12 +376,12 @@ def _verdicts(df: DataFrame, key: str, text: str, width: int = 5, percent: int =
     classes = sketches.filter("n > 0").groupBy("digest").agg(F.min(order).alias("first"))
     classes = settle(classes.select("digest", F.monotonically_increasing_id().alias("id"), "first.doc", "first.print", "first.row"), "classes")
     # From here to the links, doc is the number of a class.
-    reps = settle(classes.select("row", "id").join(sketches.filter("n > 0"), "row").select(F.col("id").alias("doc"), "n", "sketch"), "reps")
-    spread = settle(bands(reps), "bands")
+    reps = settle(classes.select("row", "id").join(sketches.filter("n > 0"), "row").select(F.col("id").alias("doc"), "n", "sketch"), "reps", hashes=True)
+    spread = settle(bands(reps), "bands", hashes=True)
     buckets = spread.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     # Written out, so that the join shuffles both sides for itself and Spark may split a crowded bucket.
-    buckets = settle(buckets, "buckets")
-    members = settle(spread.join(buckets, "bucket").select("bucket", "doc", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("np")), "members")
+    buckets = settle(buckets, "buckets", hashes=True)
+    members = settle(spread.join(buckets, "bucket").select("bucket", "doc", "n", F.col("pivot.doc").alias("pivot"), F.col("pivot.n").alias("np")), "members", hashes=True)
     pairs = members.filter("doc <> pivot").filter(100 * F.least("n", "np") >= percent * F.greatest("n", "np")).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     wanted = settle(members.select("doc").distinct(), "wanted")
     named_rows = settle(classes.join(wanted.select(F.col("doc").alias("id")), "id").select("id", F.col("doc").alias("_key"), F.col("print").alias("_print")), "wanted-rows")
