@@ -4,12 +4,15 @@ Both sides are sets of five-word shingles (words lower-cased A to Z). An item is
 in a document that holds at least ``threshold`` of the item's distinct shingles.
 
 Search. Items are partitioned by size (powers of two of their number of shingles), and
-each partition has its sketch length: the item's ``floor((1 - threshold) * upper) + 1``
-least shingle hashes, ``upper`` being the partition's largest size. An item of n
-shingles misses at most ``n - ceil(threshold * n)`` of them in any document that counts,
-so at least one value of the sketch must occur among the document's shingles whatever
-the document's length: no document is lost, short or long. Documents are probed whole
-against the sketches, with no signature of their own, which would fade for long ones.
+each partition has its sketch length: the item's ``floor((1 - threshold + SPARE) * upper) + 1``
+least shingle hashes, ``upper`` being the partition's largest size; shingles that more than
+``COMMON`` items share (prompt templates) come after all others. An item of n shingles
+misses at most ``n - ceil(threshold * n)`` of them in any document that counts, so a
+document must hold all of the sketch but that many: no document is lost, short or long,
+and one that holds a few common words is no candidate. Documents are probed whole against
+the sketches, with no signature of their own, which would fade for long ones. Where the
+sketches are too many to broadcast, a document's shingles first pass a bit table of
+``FILTER_BITS`` bits of them; what gets through is shuffled.
 
 Verification. For each candidate pair the distinct shingles of the item that occur in
 the document are counted, compared word by word.
@@ -31,6 +34,14 @@ from .common import is_small, settle, shingles, small_join, words
 
 WIDTH = 5
 THRESHOLD = 0.8
+#: Share of an item's shingles by which its sketch is longer than the bound asks; so many must be hit.
+SPARE = 0.2
+#: Items that may share a shingle before it goes to the end of their order.
+COMMON = 64
+#: Bits of the table that filters shingles: 2 MB, whatever the input. A word holds 64, a row ``ROW_WORDS`` words.
+FILTER_BITS, ROW_WORDS = 1 << 24, 512
+#: Sketch rows that are broadcast.
+SKETCH_ROWS = 200_000
 
 
 def _hash_of(*parts: Column) -> Column:
@@ -59,13 +70,40 @@ def item_shingles(items: DataFrame, key: str, text: str, width: int) -> DataFram
 
 
 def sketches(parts: DataFrame, threshold: float) -> DataFrame:
-    """The least hashes of each item, as many as its size partition asks for."""
+    """(item_id, item_print, h, need): the first hashes of each item, as many as its size partition asks for, and how many of them a document must hold."""
     item = Window.partitionBy("item_id", "item_print")
-    sized = parts.withColumn("n", F.count(F.lit(1)).over(item)).withColumn("rank", F.row_number().over(item.orderBy("h", "shingle")))
+    common = parts.groupBy("h").agg(F.count(F.lit(1)).alias("items")).filter(F.col("items") > COMMON).select("h", F.lit(True).alias("common"))
+    sized = parts.join(common, "h", "left").withColumn("n", F.count(F.lit(1)).over(item))
+    ranked = sized.withColumn("rank", F.row_number().over(item.orderBy(F.col("common").isNotNull(), "h", "shingle")))
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))
-    # The small addend keeps rounding from taking a value that the bound needs.
-    length = F.floor((1 - threshold) * upper + 1e-9) + 1
-    return sized.filter(F.col("rank") <= length).select("item_id", "item_print", "h").distinct()
+    # The small addends keep rounding from taking a value that the bound needs.
+    length = F.least(F.floor((1 - threshold + SPARE) * upper + 1e-9) + 1, F.col("n"))
+    missed = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9)
+    kept = ranked.filter(F.col("rank") <= length)
+    # Shingles whose hashes collide are one hash to a document, so fewer hashes are asked of it.
+    distinct = kept.groupBy("item_id", "item_print", "h").agg(F.count(F.lit(1)).alias("same"), F.first(missed).alias("missed"))
+    need = F.greatest(F.count(F.lit(1)).over(item) - F.col("missed"), F.lit(1).cast("long"))
+    return distinct.select("item_id", "item_print", "h", need.alias("need"))
+
+
+def bit_rows(index: DataFrame, bits: int) -> DataFrame:
+    """(row, words): the hashes of ``index`` as set bits in rows of ``ROW_WORDS`` words."""
+    at = F.pmod("h", F.lit(bits))
+    word = index.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = word.groupBy(F.expr(f"word div {ROW_WORDS}").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % ROW_WORDS).alias("k"), "bits"))).alias("m"))
+    return rows.select("row", F.transform(F.sequence(F.lit(0), F.lit(ROW_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("words"))
+
+
+def _probed(hashes: DataFrame, index: DataFrame, rows: int | None = None, bits: int | None = None) -> DataFrame:
+    """Rows of ``hashes`` whose h is in the settled ``index``, with the items."""
+    rows, bits = SKETCH_ROWS if rows is None else rows, bits or FILTER_BITS
+    if is_small(index, rows):
+        return hashes.join(F.broadcast(index), "h")
+    table = F.broadcast(settle(bit_rows(index, bits), "bits"))  # FILTER_BITS / 8 bytes, whatever the index
+    placed = hashes.withColumn("_at", F.pmod("h", F.lit(bits)))
+    held = placed.join(table, F.expr(f"_at div {64 * ROW_WORDS}") == F.col("row"))
+    bit = F.expr(f"shiftright(words[cast((_at div 64) % {ROW_WORDS} as int)], cast(_at % 64 as int)) & 1L")
+    return held.filter(bit == 1).select(*hashes.columns).join(index, "h")
 
 
 def _found(
@@ -76,8 +114,10 @@ def _found(
     parts = settle(item_shingles(items, item_key, item_text, width), "items")
     keys = [F.col(key).alias("doc_id"), F.xxhash64(text).alias("doc_print")]
     index = settle(sketches(parts, threshold), "sketches")
-    probed = small_join(_hashes(docs, F.col(text), *keys, width=width), index, "h")
-    candidates = settle(probed.groupBy("doc_id", "doc_print", "item_id", "item_print").agg(F.count(F.lit(1)).alias("hits")).drop("hits"), "candidates")
+    pair = ["doc_id", "doc_print", "item_id", "item_print"]
+    probed = _probed(_hashes(docs, F.col(text), *keys, width=width), index).groupBy(*pair, "h").agg(F.first("need").alias("need"))
+    hits = probed.groupBy(*pair).agg(F.count(F.lit(1)).alias("hits"), F.first("need").alias("need"))
+    candidates = settle(hits.filter("hits >= need").select(*pair), "candidates")
     # Only documents that are candidates are cut up again.
     # Keys may be null, and a null is a key like any other here.
     wanted = settle(candidates.select(F.col("doc_id").alias("_d"), F.col("doc_print").alias("_p")).distinct(), "wanted")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quillbank.llm import decontaminate
 
 
@@ -20,7 +22,10 @@ def brute(docs, items, threshold=80):
     return found
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"SKETCH_ROWS": 0, "FILTER_BITS": 1 << 16, "COMMON": 1}])
+def test_against_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(decontaminate, name, value)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(30)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(3, 40)))) for i in range(30)] + [(30, None), (31, ""), (32, "w1 w2 w3 w4 w5"), (33, "w1 w2 w3 w4 w5")]
@@ -56,3 +61,18 @@ def test_only_texts_with_a_hit_go(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     left = {r.text for r in decontaminate.drop_contaminated(docs, items).collect()}
     assert left == {"quite another text here now", "clean text under the same key", None}
+
+
+def test_items_that_share_a_template(spark, monkeypatch):
+    """Documents that hold only what many items share are no candidates; those that hold an item are found."""
+    monkeypatch.setattr(decontaminate, "COMMON", 8)
+    template = "answer the following question with one of the letters given below and nothing else"
+    items = [(i, f"{template} " + " ".join(f"item{i}word{j}" for j in range(30))) for i in range(40)]
+    docs = [(i, f"some words before {template} and words after it {i}") for i in range(30)] + [(100 + i, f"before it {t} after it") for i, t in items[:5]]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contained(a, b).collect()}
+    assert got == set(brute(docs, items)) == {(100 + i, i) for i in range(5)}
+    parts = decontaminate.item_shingles(b, "item_id", "text", 5)
+    index = decontaminate.settle(decontaminate.sketches(parts, 0.8), "test")
+    hashes = decontaminate._hashes(a.filter("doc_id < 100"), decontaminate.F.col("text"), decontaminate.F.col("doc_id"), width=5)
+    assert decontaminate._probed(hashes, index).count() == 0
