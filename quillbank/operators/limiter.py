@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from quillbank.sources import model
 
@@ -18,23 +18,41 @@ UNKNOWN = "unknown"
 def rate_limit(df: DataFrame, key: str = "key", ts: str = "ts", order: str = "seq", window_ms: int = model.WINDOW_MS, most: int = model.MAX_HITS) -> DataFrame:
     """key, seq and ts of ``df`` with hit_no, allowed, remaining, reset_ms and retry_after_s.
 
-    Where a window starts depends on where the one before ended, so the times of a key are
-    walked in order: a fold over its sorted times that only keeps the starts. Hits then
-    find their window by a join and are numbered inside it. For keys with more hits than
-    fit a task use the streaming form, whose state is two numbers.
+    Where a window starts depends on where the one before ended, so the hits of a key are
+    walked in order of time: one pass over sorted rows, in Arrow batches, that holds a
+    count and the end of the current window and jumps from window to window. A key's hits
+    go to one task, which may spill them; none has to fit in memory.
     """
     hits = df.select(F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN)).alias("key"), F.col(order).alias("seq"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts).cast("timestamp")).alias("now"))
-    times = F.sort_array(F.collect_set("now"))
-    none = F.array().cast("array<bigint>")
+    dealt = hits.repartition("key").sortWithinPartitions("key", "now", "seq")
 
-    def step(starts, now):
-        opens = (F.size(starts) == 0) | (now >= F.try_element_at(starts, F.lit(-1)) + window_ms)
-        return F.when(opens, F.concat(starts, F.array(now))).otherwise(starts)
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    windows = hits.groupBy("key").agg(times.alias("times")).select(F.col("key").alias("k"), F.explode(F.aggregate("times", none, step)).alias("start"))
-    inside = (F.col("key") == F.col("k")) & (F.col("now") >= F.col("start")) & (F.col("now") < F.col("start") + window_ms)
-    numbered = hits.join(windows, inside).withColumn("hit_no", F.row_number().over(Window.partitionBy("key", "start").orderBy("now", "seq")))
-    return verdicts(numbered.withColumn("reset_ms", F.col("start") + window_ms), most)
+        held, n, reset = None, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, now = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            numbers, resets = np.empty(len(now), np.int32), np.empty(len(now), np.int64)
+            turns = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for start, stop in zip([0, *turns.tolist()], [*turns.tolist(), len(now)], strict=True):
+                if keys[start] != held:
+                    held, n, reset = keys[start], 0, None
+                at = start
+                while at < stop:
+                    if reset is None or now[at] >= reset:
+                        n, reset = 0, int(now[at]) + window_ms
+                    upto = at + int(np.searchsorted(now[at:stop], reset))
+                    numbers[at:upto] = np.arange(n + 1, n + 1 + upto - at)
+                    resets[at:upto] = reset
+                    n, at = n + upto - at, upto
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers), pa.array(resets)], names=[*batch.schema.names, "hit_no", "reset_ms"])
+
+    # A hit without a time opens no window; it has no place in the order.
+    made = T.StructType([*hits.schema.fields, T.StructField("hit_no", T.IntegerType()), T.StructField("reset_ms", T.LongType())])
+    return verdicts(dealt.filter("now IS NOT NULL").mapInArrow(walk, made), most)
 
 
 def verdicts(df: DataFrame, most: int) -> DataFrame:

@@ -22,7 +22,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     try:
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         run = (
-            stream.rate_limit_stream(source, most=4).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
+            stream.rate_limit_stream(source, most=4, evict=False).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         )
         assert run.awaitTermination(120)
@@ -32,3 +32,27 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*columns).collect())
     batch = spark.createDataFrame(rows, schema)
     assert got == sorted(tuple(r) for r in limiter.rate_limit(batch, most=4).select(*columns).collect())
+
+
+def test_state_of_keys_that_are_gone_is_evicted(spark, tmp_path):
+    """Between two batches the state's time runs out, so the second hit opens a window of its own."""
+    import time
+
+    pytest.importorskip("google.protobuf")
+    base = datetime.datetime(2026, 1, 1)
+    schema = "key string, ts timestamp, seq long"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
+    try:
+        for keep, want in ((1, [1, 1]), (600_000, [1, 2])):
+            at = tmp_path / str(keep)
+            for i in range(2):
+                spark.createDataFrame([("a", base + datetime.timedelta(seconds=i), i)], schema).coalesce(1).write.mode("append").parquet(str(at / "in"))
+                run = (
+                    stream.rate_limit_stream(spark.readStream.schema(schema).parquet(str(at / "in")), keep_ms=keep).writeStream.format("parquet").outputMode("append")
+                    .option("path", str(at / "out")).option("checkpointLocation", str(at / "state")).trigger(once=True).start()
+                )
+                assert run.awaitTermination(120)
+                time.sleep(0.1)
+            assert [r.hit_no for r in spark.read.parquet(str(at / "out")).orderBy("seq").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
