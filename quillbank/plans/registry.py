@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillbank.functions import latex, rules
 from quillbank.functions import scalars as S
 from quillbank.operators import document, fairness, limiter, mutate, relational
-from quillbank.sources import model
+from quillbank.sources import model, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,10 +56,15 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Questions with Chinese labels, so that the whitelist and the rules have work to do.
 TYPE_SQL = "['單選', '多選', '填空', '計算', '證明', '其他'][p_size % 6 + 1]"
+# What a question ends in, so that every repair has something to do: old markers, stray dollars, a known damaged formula, scripts after names, wide spaces.
+ENDS = (
+    " [SUPER:x|2]", " [SUB:a|n]", " $x$_{1}", r" $\frac{T}{2}$^{[SUPER:R|3}]=K", " ${a$}", r" \theta^2", r" \alpha _1", " \\beta\u3000/\u30003", " x\u3000/\u3000y", " x^{2}", "",
+)
+ENDS_SQL = "[" + ", ".join(f"'{e}'" for e in ENDS) + "][p_size % 11 + 1]"
 BANK = f"""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN '數學' ELSE '物理' END AS subject,
 CASE WHEN p_size % 3 = 0 THEN '實數' WHEN p_size % 3 = 1 THEN '電流與電路' ELSE '排列 ' END AS chapter,
 {TYPE_SQL} AS question_type, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size % 8 END AS difficulty,
-'[FRAC:' || p_size || '|' || p_partkey || '] and $x$^{{2}}, ' || p_name || CASE WHEN p_size % 5 = 0 THEN ' × \\pi / 2' WHEN p_size % 5 = 1 THEN ' [SQRT:3]$' WHEN p_size % 5 = 2 THEN ' $a×b$ \\theta' ELSE ' 3/4 {{{{}}' END AS question_text,
+'[FRAC:' || p_size || '|' || p_partkey || '] and $x$^{{2}}, ' || p_name || CASE WHEN p_size % 5 = 0 THEN ' × \\pi / 2' WHEN p_size % 5 = 1 THEN ' [SQRT:3]$' WHEN p_size % 5 = 2 THEN ' $a×b$ \\theta' ELSE ' 3/4 {{{{}}' END || {ENDS_SQL} AS question_text,
 CASE WHEN p_size % 4 = 0 THEN '略' WHEN p_size % 4 = 1 THEN '' WHEN p_size % 4 = 2 THEN NULL ELSE '$\\frac{{1}}{{2}}$ ≤ x_1' END AS answer_text FROM part"""
 
 
@@ -67,13 +72,14 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey").cast("string")
     types = F.array(*[F.lit(t) for t in ("單選", "多選", "填空", "計算", "證明", "其他")])
     tail = F.when(size % 5 == 0, F.lit(" × \\pi / 2")).when(size % 5 == 1, F.lit(" [SQRT:3]$")).when(size % 5 == 2, F.lit(" $a×b$ \\theta")).otherwise(F.lit(" 3/4 {{}"))
+    ends = F.element_at(F.array(*[F.lit(e) for e in ENDS]), size % 11 + 1)
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
         F.when(size % 2 == 0, "數學").otherwise("物理").alias("subject"),
         F.when(size % 3 == 0, "實數").when(size % 3 == 1, "電流與電路").otherwise("排列 ").alias("chapter"),
         F.element_at(types, size % 6 + 1).alias("question_type"),
         F.when(size % 7 != 0, size % 8).alias("difficulty"),
-        F.concat(F.lit("[FRAC:"), size.cast("string"), F.lit("|"), key, F.lit("] and $x$^{2}, "), F.col("p_name"), tail).alias("question_text"),
+        F.concat(F.lit("[FRAC:"), size.cast("string"), F.lit("|"), key, F.lit("] and $x$^{2}, "), F.col("p_name"), tail, ends).alias("question_text"),
         F.when(size % 4 == 0, "略").when(size % 4 == 1, "").when(size % 4 == 3, F.lit("$\\frac{1}{2}$ ≤ x_1")).alias("answer_text"),
     )
 
@@ -155,7 +161,23 @@ def changed_rows(spark, sf_dir):
     return q.filter(S.changed(F.col("question_text"), F.replace("question_text", F.lit("a"), F.lit("b")))).select("id")
 
 
-WHITELIST = "(SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{c}', {i})" for s, names in model.CHAPTERS.items() for i, c in enumerate(names, 1)) + ") AS t(subject, chapter, ord))"
+# The chapters of the syllabus, written out so that the SQL tells a wrong table from a right one.
+WHITELIST = """(SELECT * FROM (VALUES
+('數學', '實數', 1), ('數學', '絕對值', 2), ('數學', '指數與對數', 3), ('數學', '直線方程式', 4), ('數學', '圓方程式', 5),
+('數學', '多項式除法', 6), ('數學', '三次函數', 7), ('數學', '數列與級數', 8), ('數學', '排列', 9), ('數學', '組合', 10),
+('數學', '古典機率', 11), ('數學', '期望值', 12), ('數學', '一維數據分析', 13), ('數學', '二維數據分析', 14), ('數學', '三角函數的定義', 15),
+('數學', '正弦與餘弦定理', 16), ('數學', '三角測量', 17), ('數學', '向量的加減與係數積', 18), ('數學', '向量內積', 19), ('數學', '面積與行列式', 20),
+('數學', '空間概念與座標系', 21), ('數學', '空間向量內積', 22), ('數學', '外積', 23), ('數學', '平面方程式', 24), ('數學', '空間直線方程式', 25),
+('數學', '矩陣的加減與乘法', 26), ('數學', '克拉瑪公式', 27), ('數學', '數列的極限', 28), ('數學', '函數的極限', 29), ('數學', '微分導函數', 30),
+('數學', '函數圖形與極值', 31), ('數學', '定積分與面積', 32), ('數學', '隨機變數', 33), ('數學', '常態分配', 34),
+('物理', '科學的態度與方法', 1), ('物理', '物質的組成（夸克與原子）', 2), ('物理', '物體的運動（速度與加速度）', 3), ('物理', '四大基本交互作用', 4), ('物理', '能量的形式與守恆', 5),
+('物理', '量子現象（光電效應與波粒二象性）', 6), ('物理', '宇宙學簡介', 7), ('物理', '直線運動', 8), ('物理', '平面運動', 9), ('物理', '牛頓運動定律', 10),
+('物理', '摩擦力與向心力', 11), ('物理', '動量與衝量', 12), ('物理', '動量守恆與碰撞', 13), ('物理', '功與動能', 14), ('物理', '位能與能量守恆', 15),
+('物理', '重力場與重力位能', 16), ('物理', '剛體轉動與平衡', 17), ('物理', '簡諧運動(SHM)', 18), ('物理', '流體的壓力與浮力', 19), ('物理', '波動的性質', 20),
+('物理', '聲波與交互作用', 21), ('物理', '幾何光學（反射折射）', 22), ('物理', '物理光學（干涉繞射）', 23), ('物理', '靜電學', 24), ('物理', '電場與電位', 25),
+('物理', '電流與電路', 26), ('物理', '電流磁效應', 27), ('物理', '電磁感應', 28), ('物理', '交流電', 29), ('物理', '近代物理的序幕', 30),
+('物理', '原子結構與光譜', 31), ('物理', '核物理與基本粒子', 32)
+) AS t(subject, chapter, ord))"""
 
 
 @query(f"SELECT id, subject, chapter FROM ({BANK}) q WHERE EXISTS (SELECT 1 FROM {WHITELIST} w WHERE w.subject = q.subject AND w.chapter = q.chapter)")
@@ -242,7 +264,11 @@ def page_summary(spark, sf_dir):
     return relational.page(relational.scan_eq(parts(spark, sf_dir), subject="STANDARD"), -3, 1000)[1]
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT id, question_text FROM ({PARTS}) ORDER BY id DESC LIMIT 5), n AS (SELECT count(*) AS total FROM part)
+SELECT '{{"total":' || total || ',"page":1,"limit":5,"totalPages":' || CAST(ceil(total / 5) AS BIGINT) || ',"questions":[' ||
+(SELECT string_agg('{{"id":' || id || ',"question_text":"' || question_text || '"}}', ',' ORDER BY id DESC) FROM p) || ']}}' AS json FROM n
+""")
 def page_envelope(spark, sf_dir):
     rows, summary = relational.page(parts(spark, sf_dir).select("id", "question_text"), 1, 5)
     return relational.envelope(rows, summary)
@@ -297,19 +323,21 @@ CASE WHEN idx % 8 = 7 THEN '' ELSE n_name || (idx % 6) END AS question_text, CAS
 
 @query(f"SELECT idx, subject, chapter, question_type, difficulty, question_text, answer_text, '{{}}' AS history_json, (SELECT max(p_partkey) FROM part) + 1 + idx AS id FROM ({INCOMING_ROWS})")
 def insert_defaults(spark, sf_dir):
-    last = parts(spark, sf_dir).agg(F.max("id").alias("last"))
-    rows = mutate.with_defaults(incoming(spark, sf_dir)).crossJoin(F.broadcast(last))
-    return rows.select("idx", "subject", "chapter", "question_type", "difficulty", "question_text", "answer_text", "history_json", (F.col("last") + 1 + F.col("idx")).alias("id"))
+    """What ``mutate.insert`` adds to the bank."""
+    held = bank(spark, sf_dir).withColumn("history_json", F.lit("{}"))
+    last = held.agg(F.max("id").alias("last"))
+    added = mutate.insert(held, incoming(spark, sf_dir)).crossJoin(F.broadcast(last)).filter("id > last")
+    return added.select((F.col("id") - F.col("last") - 1).cast("int").alias("idx"), "subject", "chapter", "question_type", "difficulty", "question_text", "answer_text", "history_json", "id")
 
 
 @query("""
-WITH rows AS (SELECT o_orderkey, o_orderpriority || o_orderstatus || (o_custkey % 40) AS question_text FROM orders),
-held AS (SELECT o_orderpriority || o_orderstatus || (o_custkey % 40) AS question_text FROM orders WHERE o_custkey % 3 = 0)
+WITH rows AS (SELECT o_orderkey, o_orderstatus || (o_custkey % 60) AS question_text FROM orders),
+held AS (SELECT o_orderstatus || (o_custkey % 60) AS question_text FROM orders WHERE o_custkey % 3 = 0)
 SELECT question_text, min(o_orderkey) AS idx FROM rows WHERE question_text NOT IN (SELECT question_text FROM held) GROUP BY question_text
 """)
 def seed_dedup(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    text = F.concat("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 40).cast("string")).alias("question_text")
+    text = F.concat("o_orderstatus", (F.col("o_custkey") % 60).cast("string")).alias("question_text")
     return mutate.new_rows(o.filter("o_custkey % 3 = 0").select(text), o.select(F.col("o_orderkey").alias("idx"), text))
 
 
@@ -391,7 +419,10 @@ def constraint_violations(spark, sf_dir):
     return rules.check_constraints(bank(spark, sf_dir)).select("id", "difficulty")
 
 
-_COMMANDS = "|".join(rules.AUDITED_COMMANDS)
+# Fixed values, written out once more for the SQL.
+_COMMANDS = "frac|sqrt|int|sum|prod|lim|vec|hat|bar|times|div|leq|geq|neq|approx|infty|pm|cdot|alpha|beta|gamma|delta|theta|pi|sigma|omega|lambda|mu|phi|sin|cos|tan|log|ln"
+_UNICODE_MATH = "[×÷≤≥≠±√∞∑∫∏∂∇αβγδεζηθλμνξπρστφχψωΓΔΘΛΞΠΣΦΨΩ°·∈∉⊂⊆∪∩→←⇒⇔]"
+_SPACE = "[\\s\\x{A0}\\x{3000}]"
 
 
 def _issues_sql(field: str, column: str) -> str:
@@ -399,8 +430,8 @@ def _issues_sql(field: str, column: str) -> str:
     tests = [
         ("error", "odd_dollars", f"{n} % 2 <> 0"),
         ("error", "unbalanced_braces", f"length(replace({column}, '{{', '')) <> length(replace({column}, '}}', ''))"),
-        ("warn", "slash_fraction", f"regexp_matches({column}, '[0-9a-zA-Zπ]\\s*/\\s*[0-9a-zA-Zπ]') AND NOT regexp_matches({column}, 'https?://')"),
-        ("warn", "unicode_math", f"regexp_matches({column}, '{rules.UNICODE_MATH}')"),
+        ("warn", "slash_fraction", f"regexp_matches({column}, '[0-9a-zA-Zπ]{_SPACE}*/{_SPACE}*[0-9a-zA-Zπ]') AND NOT regexp_matches({column}, 'https?://')"),
+        ("warn", "unicode_math", f"regexp_matches({column}, '{_UNICODE_MATH}')"),
         ("info", "bare_latex", f"{n} < 2 AND (regexp_matches({column}, '\\\\({_COMMANDS})\\b') OR regexp_matches({column}, '[\\^_]'))"),
     ]
     return " UNION ALL ".join(f"SELECT id, '{field}' AS field, '{sev}' AS sev, '{code}' AS code FROM bank WHERE trim({column}) <> '' AND {test}" for sev, code, test in tests)
@@ -414,6 +445,18 @@ def audit(spark, sf_dir):
     return rules.audit(bank(spark, sf_dir))
 
 
+@query(AUDIT)
+def audit_converting(spark, sf_dir):
+    """The audit that also has every text converted; none of these fails."""
+    return rules.audit(bank(spark, sf_dir), converts=latex.converts)
+
+
+@query(f"SELECT (SELECT count(*) FROM part) AS questions, count(DISTINCT id) AS flagged, count(*) FILTER (WHERE sev = 'error') AS error, count(*) FILTER (WHERE sev = 'warn') AS warn, count(*) FILTER (WHERE sev = 'info') AS info FROM ({AUDIT})")
+def report_totals(spark, sf_dir):
+    q = bank(spark, sf_dir)
+    return document.report_totals(rules.audit(q), q)
+
+
 @query(f"SELECT sev, count(*) AS issues, count(DISTINCT id) AS questions FROM ({AUDIT}) GROUP BY sev")
 def severity_summary(spark, sf_dir):
     return rules.severity_summary(rules.audit(bank(spark, sf_dir)))
@@ -429,13 +472,10 @@ _MARKERS = [
     (r"\[FRAC:([^|\]]*)\|([^\]]*)\]", r"\\frac{\1}{\2}"), (r"\[SUPER:([^|\]]*)\|([^\]]*)\]", r"\1^{\2}"), (r"\[SUB:([^|\]]*)\|([^\]]*)\]", r"\1_{\2}"),
     (r"\[SQRT:([^\]}]*)[}\]]", r"\\sqrt{\1}"), (r"\$(\^\{[^{}]*\})", r"\1$"), (r"\$(_\{[^{}]*\})", r"\1$"), *[(r"\$\}", "}$")] * 5,
 ]
-_FIXED = [f"replace(%s, '{old}', '{new}')" for old, new in rules.EXACT_FIXES.items()]
 
 
 def _fixed(column: str) -> str:
-    for f in _FIXED:
-        column = f % column
-    return column
+    return f"replace({column}, '$\\frac{{T}}{{2}}$^{{[SUPER:R|3}}]=K', '$\\frac{{T^2}}{{R^3}}=K$')"
 
 
 @query(f"SELECT id, {_replaced(_fixed('question_text'), _MARKERS)} AS repaired FROM ({BANK})")
@@ -443,17 +483,20 @@ def repair_markers(spark, sf_dir):
     return bank(spark, sf_dir).select("id", rules.repair_markers(F.col("question_text")).alias("repaired"))
 
 
-_GREEK = "|".join(rules.REPAIRED_GREEK)
+_GREEK = "pi|theta|alpha|beta|gamma|delta|omega|lambda|nu|sigma|phi|varphi|rho|tau|varepsilon|epsilon|psi|chi|mu"
+_NAMES = (("×", "times"), ("÷", "div"), ("≤", "leq"), ("≥", "geq"), ("≠", "neq"), ("±", "pm"), ("≈", "approx"))
 
 
 def _outside_sql(column: str) -> str:
-    """Outside of dollars; the generated texts have no Greek name with a script after it, which RE2 can't look ahead for."""
+    """Outside of dollars. RE2 can't look ahead, so names with a script after them are hidden first."""
     edited = "p"
-    for char, command in rules.UNICODE_COMMANDS.items():
-        edited = f"replace({edited}, '{char}', '${command}$')"
-    spaced = f"regexp_replace({edited}, '\\\\({_GREEK})\\b\\s*/\\s*([0-9]+)', '$\\\\\\1/\\2$', 'g')"
+    for char, name in _NAMES:
+        edited = f"replace({edited}, '{char}', '$\\{name}$')"
+    hidden = f"regexp_replace({edited}, '\\\\({_GREEK})({_SPACE}*[\\^_])', chr(1) || '\\1\\2', 'g')"
+    spaced = f"regexp_replace({hidden}, '\\\\({_GREEK})\\b{_SPACE}*/{_SPACE}*([0-9]+)', '$\\\\\\1/\\2$', 'g')"
     bare = f"regexp_replace({spaced}, '(^|[^$])\\\\({_GREEK})\\b', '\\1$\\\\\\2$', 'g')"
-    return f"array_to_string(list_transform(regexp_extract_all({column}, '(\\$[^$]*\\$|[^$]+|\\$)', 1), lambda p: CASE WHEN regexp_full_match(p, '\\$[^$]*\\$') THEN p ELSE {bare} END), '')"
+    shown = f"replace({bare}, chr(1), '\\')"
+    return f"array_to_string(list_transform(regexp_extract_all({column}, '(\\$[^$]*\\$|[^$]+|\\$)', 1), lambda p: CASE WHEN regexp_full_match(p, '\\$[^$]*\\$') THEN p ELSE {shown} END), '')"
 
 
 @query(f"SELECT id, {_outside_sql('question_text')} AS repaired FROM ({BANK})")
@@ -473,21 +516,65 @@ def is_clean(spark, sf_dir):
     return bank(spark, sf_dir).select("id", rules.is_clean(F.col("question_text")).alias("question_clean"), rules.is_clean(F.col("answer_text")).alias("answer_clean"))
 
 
-@query(f"""
-WITH bank AS ({BANK}), marked AS (SELECT *, {_replaced(_fixed('question_text'), _MARKERS)} AS mq, {_replaced(_fixed('answer_text'), _MARKERS)} AS ma FROM bank),
+CLASSIFIED = f"""WITH bank AS ({BANK}), marked AS (SELECT *, {_replaced(_fixed('question_text'), _MARKERS)} AS mq, {_replaced(_fixed('answer_text'), _MARKERS)} AS ma FROM bank),
 new AS (SELECT *, {_outside_sql('mq')} AS nq, CASE WHEN ma IS NOT NULL THEN {_outside_sql('ma')} END AS na FROM marked)
-SELECT id, CASE WHEN (nq IS DISTINCT FROM question_text OR na IS DISTINCT FROM answer_text) AND {_clean_sql('nq')} AND {_clean_sql('na')} THEN 'auto'
-WHEN (nq IS DISTINCT FROM question_text OR na IS DISTINCT FROM answer_text) OR NOT ({_clean_sql('question_text')} AND {_clean_sql('answer_text')}) THEN 'manual' END AS bucket FROM new
-""")
+SELECT id, question_text, answer_text, nq, na, CASE WHEN (nq IS DISTINCT FROM question_text OR na IS DISTINCT FROM answer_text) AND {_clean_sql('nq')} AND {_clean_sql('na')} THEN 'auto'
+WHEN (nq IS DISTINCT FROM question_text OR na IS DISTINCT FROM answer_text) OR NOT ({_clean_sql('question_text')} AND {_clean_sql('answer_text')}) THEN 'manual' END AS bucket FROM new"""
+
+
+@query(f"SELECT id, bucket FROM ({CLASSIFIED})")
 def classify(spark, sf_dir):
     return rules.classify(bank(spark, sf_dir)).select("id", "bucket")
 
 
-@query()
+@query(f"SELECT id, nq AS new_question, na AS new_answer FROM ({CLASSIFIED})")
+def repair(spark, sf_dir):
+    return rules.classify(bank(spark, sf_dir)).select("id", "new_question", "new_answer")
+
+
+@query(f"SELECT count(*) AS questions, count(*) FILTER (WHERE bucket = 'auto') AS auto, count(*) FILTER (WHERE bucket = 'manual') AS manual FROM ({CLASSIFIED})")
+def preview_totals(spark, sf_dir):
+    return document.preview_totals(rules.classify(bank(spark, sf_dir)))
+
+
+_LEGACY = [
+    (r"\x{200B}", ""), (r"\[FRAC:([^|]+)\|([^\]]+)\]", r"\\frac{\1}{\2}"), (r"\[SQRT:([^\]]+)\]", r"\\sqrt{\1}"),
+    (r"\[SUPER:" + _SPACE + r"*\|([^\]]+)\]", r"^{\1}"), (r"\[SUPER:([^|]+)\|([^\]]+)\]", r"\1^{\2}"), (r"\[SUB:" + _SPACE + r"*\|([^\]]+)\]", r"_{\1}"), (r"\[SUB:([^|]+)\|([^\]]+)\]", r"\1_{\2}"),
+    ("π", r"\\pi "), ("θ", r"\\theta "), ("ω", r"\\omega "), ("∝", r"\\propto "), (r"√\((.*?)\)", r"\\sqrt{\1}"), ("√([a-zA-Z0-9])", r"\\sqrt{\1}"),
+    ("([a-zA-Z0-9])²", r"\1^{2}"), ("([a-zA-Z0-9])³", r"\1^{3}"), ("([a-zA-Z0-9])₁", r"\1_{1}"), ("([a-zA-Z0-9])₂", r"\1_{2}"),
+    # RE2 can't look around, so the neighbours are matched and put back; no two formulas of these texts share one.
+    (r"(^|[^$])(\\[a-zA-Z]+\{[^}]*\}(?:\{[^}]*\})?)($|[^$])", r"\1$\2$\3"), (r"(^|[^$])([a-zA-Z0-9]+[\^_]\{[^}]*\})($|[^$])", r"\1$\2$\3"),
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]", ""),
+]
+
+
+@query(f"SELECT id, trim({_replaced('question_text', _LEGACY)}) AS normal FROM ({BANK})")
 def legacy_normalize(spark, sf_dir):
     return bank(spark, sf_dir).select("id", rules.legacy_normalize(F.col("question_text")).alias("normal"))
 
 
+@query(f"SELECT id, CASE WHEN NOT EXISTS (SELECT 1 FROM {WHITELIST} w WHERE w.subject = r.subject AND w.chapter = r.chapter) OR question_type NOT IN ('單選', '多選', '填空', '計算', '證明') OR difficulty IS NULL OR difficulty NOT BETWEEN 1 AND 5 THEN 'seed' END AS error_code FROM ({BANK}) r")
+def validate_seed(spark, sf_dir):
+    return rules.validate_seed(bank(spark, sf_dir)).select("id", "error_code")
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 IN (1, 2) THEN 'id' END AS error_code FROM nation")
+def check_id(spark, sf_dir):
+    k = F.col("n_nationkey") % 4
+    given = F.when(k == 0, "99999999999ab").when(k == 1, "x1").when(k == 3, "\u3000-5")
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), rules.check_id(given).alias("error_code"))
+
+
+@query("SELECT c_custkey, ['required', 'required', 'not_positive', 'too_many', 'student_name', 'not_positive', NULL, NULL][c_custkey % 8 + 1] AS error_code FROM customer")
+def check_request(spark, sf_dir):
+    k = F.col("c_custkey") % 8
+    asked = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k == 0, "").when(k == 4, '"\\').otherwise(F.col("c_name")).alias("student_name"), F.lit("數學").alias("subject"), F.lit("實數").alias("chapter"),
+        F.when(k == 1, F.lit(None).cast("string")).when(k == 2, "0").when(k == 3, "99999999999").when(k == 5, "x").otherwise("50").alias("count"),
+    )
+    return rules.check_request(asked).select("c_custkey", "error_code")
+
+
 # ---- scalars -------------------------------------------------------------------------
 
 
@@ -594,6 +681,49 @@ def filename(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", S.filename(F.concat(F.lit("a b("), F.col("s_suppkey").cast("string"), F.lit(")/卷.docx"))).alias("filename"))
 
 
+@query("SELECT p_partkey AS id, least(greatest(p_size, 10), 20) AS clamped FROM part")
+def clamp(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.clamp(F.col("p_size"), 10, 20).alias("clamped"))
+
+
+_BROKEN = "question_text || chr(13) || chr(10) || 'a' || chr(13) || 'b' || chr(7)"
+
+
+@query(f"""
+WITH t AS (SELECT id, {_BROKEN} AS c FROM ({BANK})), u AS (SELECT id, c, replace(replace(c, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS unified FROM t)
+SELECT id, unified, len(string_split(unified, chr(10))) AS n_lines, regexp_matches(c, '[\\x{{2E80}}-\\x{{9FFF}}\\x{{3000}}-\\x{{303F}}\\x{{FF00}}-\\x{{FFEF}}\\x{{3400}}-\\x{{4DBF}}]') AS cjk,
+translate(c, '\\{{}}^_$', '') AS plain, replace(c, chr(7), '') AS clean FROM u
+""")
+def text_cleanup(spark, sf_dir):
+    c = F.concat("question_text", F.lit("\r\na\rb\x07"))
+    return bank(spark, sf_dir).select(
+        "id", S.unify_newlines(c).alias("unified"), F.size(S.lines(c)).cast("long").alias("n_lines"), S.has_cjk(c).alias("cjk"), S.plain_fallback(c).alias("plain"), S.xml_safe_clean(c).alias("clean")
+    )
+
+
+@query(f"SELECT subject, chapter, ord FROM {WHITELIST} WHERE subject = '物理'")
+def chapters_of(spark, sf_dir):
+    return relational.chapters_of(model.chapters(spark), "物理")
+
+
+@query(f"""
+WITH each AS (SELECT subject, '"' || subject || '":[' || string_agg('"' || chapter || '"', ',' ORDER BY ord) || ']' AS part FROM {WHITELIST} GROUP BY subject)
+SELECT '{{' || string_agg(part, ',' ORDER BY subject) || '}}' AS json FROM each
+""")
+def whitelist_map(spark, sf_dir):
+    return relational.whitelist_map(model.chapters(spark)).select(F.to_json("whitelist").alias("json"))
+
+
+@query("SELECT * FROM (VALUES (0, '數學', '實數', NULL, '3', 'q', NULL), (1, NULL, NULL, '單選', 'x', NULL, 'a')) AS t(idx, subject, chapter, question_type, difficulty, question_text, answer_text)")
+def json_body(spark, sf_dir):
+    return readers.read_batch(spark, '{"questions": [{"subject": "數學", "chapter": "實數", "difficulty": 3, "question_text": "q", "other": 1}, {"question_type": "單選", "difficulty": "x", "answer_text": "a"}]}')
+
+
+@query("SELECT max(o_orderkey) + 1 AS id, 'one more' AS title, '7' AS student_name, '[3,1,2]' AS question_ids FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def add_paper(spark, sf_dir):
+    return mutate.add_paper(_papers(spark, sf_dir), "one more", "7", [3, 1, 2]).filter("title = 'one more'").select("id", "title", "student_name", "question_ids")
+
+
 @query("SELECT p_partkey AS id, base64(encode(p_name)) AS coded FROM part")
 def base64(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.base64(F.col("p_name").cast("binary")).alias("coded"))
@@ -624,30 +754,35 @@ def tumbling_count(spark, sf_dir):
     return limiter.tumbling_count(table(spark, sf_dir, "events"), "user_id")
 
 
-TRIALS = 2000
-DRAWS_SQL = f"""SELECT trial, value, CAST(row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '|' || value), value) AS INTEGER) AS pos
-FROM range({TRIALS}) AS t(trial), range(4) AS v(value)"""
+TRIALS = 10_000
 
 
-def draws(spark) -> DataFrame:
+def draws_sql(size: int) -> str:
+    return f"""SELECT trial, value, CAST(row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '|' || value), value) AS INTEGER) AS pos
+FROM range({TRIALS}) AS t(trial), range({size}) AS v(value)"""
+
+
+def draws(spark, size: int) -> DataFrame:
     from pyspark.sql.window import Window
 
-    cells = spark.range(TRIALS * 4).select(F.floor(F.col("id") / 4).cast("long").alias("trial"), (F.col("id") % 4).alias("value"))
+    cells = spark.range(TRIALS * size).select(F.floor(F.col("id") / size).cast("long").alias("trial"), (F.col("id") % size).alias("value"))
     order = Window.partitionBy("trial").orderBy(F.md5(F.concat_ws("|", "trial", "value")), "value")
     return cells.withColumn("pos", F.row_number().over(order))
 
 
-@query(f"SELECT pos, sum(n * n) * 4 / sum(n) - sum(n) AS chi2 FROM (SELECT pos, value, count(*) AS n FROM ({DRAWS_SQL}) GROUP BY pos, value) GROUP BY pos")
+@query(f"SELECT pos, sum(n * n) * 5 / sum(n) - sum(n) AS chi2 FROM (SELECT pos, value, count(*) AS n FROM ({draws_sql(5)}) GROUP BY pos, value) GROUP BY pos")
 def chi_square(spark, sf_dir):
-    return fairness.position_chi2(draws(spark), 4)
+    """Five items, so 4 degrees of freedom."""
+    return fairness.position_chi2(draws(spark, 5), 5)
 
 
 @query(f"""
 SELECT count(*) AS distinct_orders, sum(n * n) * 24 / sum(n) - sum(n) AS chi2, max(n) / min(n) AS ratio
-FROM (SELECT perm, count(*) AS n FROM (SELECT trial, string_agg(value, ',' ORDER BY pos) AS perm FROM ({DRAWS_SQL}) GROUP BY trial) GROUP BY perm)
+FROM (SELECT perm, count(*) AS n FROM (SELECT trial, string_agg(value, ',' ORDER BY pos) AS perm FROM ({draws_sql(4)}) GROUP BY trial) GROUP BY perm)
 """)
 def perm_ratio(spark, sf_dir):
-    return fairness.perm_stats(draws(spark), 24)
+    """Four items, so 24 orders."""
+    return fairness.perm_stats(draws(spark, 4), 24)
 
 
 @query()
@@ -675,12 +810,45 @@ def doc_plan(spark, sf_dir):
     return document.doc_plan(_papers(spark, sf_dir), asked)
 
 
-@query()
+@query(f"""
+WITH bank AS ({BANK}), l AS (SELECT l_orderkey AS paper_id, l_partkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem),
+p AS (SELECT o_orderkey AS paper_id, o_custkey, o_orderdate FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+q AS (SELECT l.paper_id, l.n, bank.* FROM l JOIN bank ON bank.id = l.id)
+SELECT paper_id, 0 AS block_no, 'title' AS kind, 'paper ' || paper_id AS text FROM p
+UNION ALL SELECT paper_id, 1, 'line', '學生姓名：' || o_custkey || '     |     得分：__________     |     列印日期：' || strftime(o_orderdate, '%Y/%-m/%-d') FROM p
+UNION ALL SELECT paper_id, 2, 'line', repeat('=', 60) FROM p
+UNION ALL SELECT paper_id, 3, 'heading', '一、 精選特訓試題區' FROM p
+UNION ALL SELECT paper_id, 1099511627776, 'page_break', '' FROM p
+UNION ALL SELECT paper_id, 1099511627777, 'heading', '🎯 參考答案區（解答邊界）' FROM p
+UNION ALL SELECT paper_id, n * 8, 'question', '第 ' || n || ' 題. [' || question_type || '] (難度: ' || repeat('★', difficulty) || ')' FROM q
+UNION ALL SELECT paper_id, n * 8 + 2199023255552, 'answer', '第 ' || n || ' 題答案：' FROM q
+UNION ALL SELECT paper_id, n * 8 + 2, 'line', '' FROM q WHERE question_type IN ('計算', '證明')
+UNION ALL SELECT paper_id, n * 8 + 3, 'line', '' FROM q WHERE question_type IN ('計算', '證明')
+""")
+def doc_blocks(spark, sf_dir):
+    """The document plan without its formulas, which only a parser can give."""
+    asked = bank(spark, sf_dir).withColumn("question_img", F.lit(None).cast("string"))
+    return document.doc_plan(_papers(spark, sf_dir), asked).drop("xml")
+
+
+def _escaped_sql(column: str) -> str:
+    return f"replace(replace(replace(coalesce({column}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""
+SELECT id, string_agg('<tr><td>' || id || '</td><td>' || subject || '<br>' || chapter || '</td><td>' || CASE field WHEN 'question' THEN '題目' ELSE '答案' END || '</td><td>' ||
+CASE sev WHEN 'error' THEN '嚴重' WHEN 'warn' THEN '警告' ELSE '提示' END || '</td><td>' || code || '</td><td><code>' ||
+{_escaped_sql("substring(CASE field WHEN 'question' THEN question_text ELSE answer_text END, 1, 160)")} || '</code></td></tr>', '' ORDER BY field, sev, code) AS html
+FROM ({AUDIT}) JOIN ({BANK}) q USING (id) GROUP BY id
+""")
 def audit_report(spark, sf_dir):
     q = bank(spark, sf_dir)
     return document.html_report(rules.audit(q), q)
 
 
-@query()
+_CELLS = " || '</td><td>' || ".join(_escaped_sql(c) for c in ("question_text", "nq", "answer_text", "na"))
+
+
+@query(f"SELECT id, bucket, '<tr><td>' || id || '</td><td>' || {_CELLS} || '</td></tr>' AS html FROM ({CLASSIFIED}) WHERE bucket IS NOT NULL")
 def repair_preview(spark, sf_dir):
     return document.html_preview(rules.classify(bank(spark, sf_dir)))
