@@ -40,9 +40,10 @@ SYMBOLS = {
     "oplus": "⊕", "otimes": "⊗", "langle": "⟨", "rangle": "⟩", "lfloor": "⌊", "rfloor": "⌋", "lceil": "⌈", "rceil": "⌉", "prod": "∏", "oint": "∮", "sqrt": "√",
     "because": "∵", "therefore": "∴", "degree": "°", "backslash": "\\", "percent": "%",
 }
-FUNCTION_NAMES = set(
-    "sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh coth log ln lg exp det dim ker deg gcd hom max min sup inf arg mod".split()
-)
+FUNCTION_NAMES = {
+    "sin", "cos", "tan", "cot", "sec", "csc", "arcsin", "arccos", "arctan", "sinh", "cosh", "tanh", "coth", "log", "ln", "lg", "exp",
+    "det", "dim", "ker", "deg", "gcd", "hom", "max", "min", "sup", "inf", "arg", "mod",
+}
 ACCENTS = {
     "vec": "⃗", "hat": "̂", "widehat": "̂", "bar": "̅", "overline": "̅", "dot": "̇", "ddot": "̈",
     "tilde": "̃", "widetilde": "̃", "check": "̌", "acute": "́", "grave": "̀",

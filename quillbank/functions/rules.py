@@ -6,6 +6,7 @@ whole audit is a single narrow pass over the bank.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,16 +15,48 @@ from pyspark.sql import functions as F
 from quillbank.functions import scalars as S
 from quillbank.sources import model
 
-# The commands, names and characters that the rules look for.
+# The commands, names, characters and patterns that the rules look for.
 UNICODE_MATH = "[×÷≤≥≠±√∞∑∫∏∂∇αβγδεζηθλμνξπρστφχψωΓΔΘΛΞΠΣΦΨΩ°·∈∉⊂⊆∪∩→←⇒⇔]"
 AUDITED_COMMANDS = (
-    "frac sqrt int sum prod lim vec hat bar times div leq geq neq approx infty pm cdot alpha beta gamma delta theta pi sigma omega lambda mu phi "
-    "sin cos tan log ln"
-).split()
-REPAIRED_GREEK = "pi theta alpha beta gamma delta omega lambda nu sigma phi varphi rho tau varepsilon epsilon psi chi mu".split()
+    "frac", "sqrt", "int", "sum", "prod", "lim", "vec", "hat", "bar", "times", "div", "leq", "geq", "neq", "approx", "infty", "pm", "cdot",
+    "alpha", "beta", "gamma", "delta", "theta", "pi", "sigma", "omega", "lambda", "mu", "phi", "sin", "cos", "tan", "log", "ln",
+)
+REPAIRED_GREEK = (
+    "pi", "theta", "alpha", "beta", "gamma", "delta", "omega", "lambda", "nu", "sigma", "phi", "varphi", "rho", "tau", "varepsilon", "epsilon", "psi", "chi", "mu",
+)
 UNICODE_COMMANDS = {"×": "\\times", "÷": "\\div", "≤": "\\leq", "≥": "\\geq", "≠": "\\neq", "±": "\\pm", "≈": "\\approx"}
 EXACT_FIXES = {r"$\frac{T}{2}$^{[SUPER:R|3}]=K": r"$\frac{T^2}{R^3}=K$"}
-SLASH_FRACTION = r"[0-9a-zA-Zπ]\s*/\s*[0-9a-zA-Zπ]"
+SLASH_FRACTION = rf"[0-9a-zA-Zπ]{S.SPACE}*/{S.SPACE}*[0-9a-zA-Zπ]"
+WEB_ADDRESS = "https?://"
+MARKER_REPAIRS = (
+    (r"\[FRAC:([^|\]]*)\|([^\]]*)\]", r"\\frac{$1}{$2}"),
+    (r"\[SUPER:([^|\]]*)\|([^\]]*)\]", "$1^{$2}"),
+    (r"\[SUB:([^|\]]*)\|([^\]]*)\]", "$1_{$2}"),
+    (r"\[SQRT:([^\]}]*)[}\]]", r"\\sqrt{$1}"),
+    (r"\$(\^\{[^{}]*\})", r"$1\$"),
+    (r"\$(_\{[^{}]*\})", r"$1\$"),
+)
+STRAY_DOLLAR, STRAY_DOLLAR_ROUNDS = (r"\$\}", r"}\$"), 5
+DOLLAR_PARTS, DOLLAR_SPAN = r"(\$[^$]*\$|[^$]+|\$)", r"(\$[^$]*\$)"
+LEFT_MARKER = r"\[(FRAC|SUPER|SUB|SQRT):"
+BARE_COMMAND = r"(^|[^\\A-Za-z])(frac|sqrt)([^A-Za-z]|$)"
+BARE_ELL = r"(^|[^A-Za-z\\])ell([^A-Za-z]|$)"
+DOLLAR_SCRIPT = r"\$\^|\$_|\$\}"
+LEGACY_STEPS = (
+    (r"\x{200B}", ""),
+    (r"\[FRAC:([^|]+)\|([^\]]+)\]", r"\\frac{$1}{$2}"),
+    (r"\[SQRT:([^\]]+)\]", r"\\sqrt{$1}"),
+    (rf"\[SUPER:{S.SPACE}*\|([^\]]+)\]", "^{$1}"),
+    (r"\[SUPER:([^|]+)\|([^\]]+)\]", "$1^{$2}"),
+    (rf"\[SUB:{S.SPACE}*\|([^\]]+)\]", "_{$1}"),
+    (r"\[SUB:([^|]+)\|([^\]]+)\]", "$1_{$2}"),
+    ("π", r"\\pi "), ("θ", r"\\theta "), ("ω", r"\\omega "), ("∝", r"\\propto "),
+    (r"√\((.*?)\)", r"\\sqrt{$1}"), ("√([a-zA-Z0-9])", r"\\sqrt{$1}"),
+    ("([a-zA-Z0-9])²", "$1^{2}"), ("([a-zA-Z0-9])³", "$1^{3}"), ("([a-zA-Z0-9])₁", "$1_{1}"), ("([a-zA-Z0-9])₂", "$1_{2}"),
+    (r"(?<!\$)(\\[a-zA-Z]+\{[^}]*\}(?:\{[^}]*\})?)(?!\$)", r"\$$1\$"),
+    (r"(?<!\$)([a-zA-Z0-9]+[\^_]\{[^}]*\})(?!\$)", r"\$$1\$"),
+    (S.WIDE_CONTROLS, ""),
+)
 #: An ASCII word boundary after a name: Java's own takes CJK characters for word characters.
 WORD_END = "(?![A-Za-z0-9_])"
 
@@ -111,7 +144,7 @@ def issues(c: Column) -> Column:
     found = [
         (dollars % 2 != 0, "error", "odd_dollars"),
         (S.char_count(c, "{") != S.char_count(c, "}"), "error", "unbalanced_braces"),
-        (c.rlike(SLASH_FRACTION) & ~c.rlike("https?://"), "warn", "slash_fraction"),
+        (c.rlike(SLASH_FRACTION) & ~c.rlike(WEB_ADDRESS), "warn", "slash_fraction"),
         (c.rlike(UNICODE_MATH), "warn", "unicode_math"),
         ((dollars < 2) & (c.rlike(command) | c.rlike(r"[\^_]")), "info", "bare_latex"),
     ]
@@ -120,17 +153,30 @@ def issues(c: Column) -> Column:
     return F.coalesce(F.when(S.is_missing(S.js_trim(c)), nothing).otherwise(rows), F.array().cast("array<struct<sev:string,code:string>>"))
 
 
-def audit(df: DataFrame, question: str = "question_text", answer: str = "answer_text", key: str = "id") -> DataFrame:
-    """(id, field, sev, code): a row per issue of question or answer."""
+def audit(df: DataFrame, question: str = "question_text", answer: str = "answer_text", key: str = "id", converts: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, field, sev, code): a row per issue of question or answer.
+
+    ``converts`` (``latex.converts``) also has every text converted, in Arrow batches, and
+    reports those that can't be; without it the audit stays in the JVM.
+    """
     blank = S.is_missing(S.js_trim(F.col(answer))) | (S.js_trim(F.col(answer)) == model.DEFAULT_ANSWER)
     none = F.array(F.struct(F.lit("info").alias("sev"), F.lit("no_answer").alias("code")))
     empty = F.array().cast("array<struct<sev:string,code:string>>")
-    answered = F.concat(issues(F.col(answer)), F.when(F.coalesce(blank, F.lit(True)), none).otherwise(empty))
+    no_row = F.array().cast("array<struct<sev:string,code:string>>")
+    broken = F.array(F.struct(F.lit("error").alias("sev"), F.lit("unconvertible").alias("code")))
+
+    def found(column: str) -> Column:
+        if converts is None:
+            return issues(F.col(column))
+        failed = ~S.is_missing(S.js_trim(F.col(column))) & ~converts(F.col(column))
+        return F.concat(issues(F.col(column)), F.when(F.coalesce(failed, F.lit(False)), broken).otherwise(no_row))
+
+    answered = F.concat(found(answer), F.when(F.coalesce(blank, F.lit(True)), none).otherwise(empty))
 
-    def tagged(found: Column, field: str) -> Column:
-        return F.transform(found, lambda x: F.struct(F.lit(field).alias("field"), x["sev"].alias("sev"), x["code"].alias("code")))
+    def tagged(those: Column, field: str) -> Column:
+        return F.transform(those, lambda x: F.struct(F.lit(field).alias("field"), x["sev"].alias("sev"), x["code"].alias("code")))
 
-    rows = df.select(F.col(key).alias("id"), F.explode(F.concat(tagged(issues(F.col(question)), "question"), tagged(answered, "answer"))).alias("issue"))
+    rows = df.select(F.col(key).alias("id"), F.explode(F.concat(tagged(found(question), "question"), tagged(answered, "answer"))).alias("issue"))
     return rows.select("id", "issue.field", "issue.sev", "issue.code")
 
 
@@ -140,30 +186,22 @@ def severity_summary(found: DataFrame) -> DataFrame:
 
 def _outside(c: Column, edit) -> Column:
     """``edit`` applied to what stands outside of ``$...$``."""
-    parts = F.regexp_extract_all(c, F.lit(r"(\$[^$]*\$|[^$]+|\$)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\$[^$]*\$$"), p).otherwise(edit(p))), "")
+    parts = F.regexp_extract_all(c, F.lit(DOLLAR_PARTS), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^{DOLLAR_SPAN}$"), p).otherwise(edit(p))), "")
 
 
 def repair_markers(c: Column) -> Column:
     """Old markers back to LaTeX, and stray dollars back to where they belong."""
     for old, new in EXACT_FIXES.items():
         c = F.replace(c, F.lit(old), F.lit(new))
-    for pattern, out in (
-        (r"\[FRAC:([^|\]]*)\|([^\]]*)\]", r"\\frac{$1}{$2}"),
-        (r"\[SUPER:([^|\]]*)\|([^\]]*)\]", "$1^{$2}"),
-        (r"\[SUB:([^|\]]*)\|([^\]]*)\]", "$1_{$2}"),
-        (r"\[SQRT:([^\]}]*)[}\]]", r"\\sqrt{$1}"),
-        (r"\$(\^\{[^{}]*\})", r"$1\$"),
-        (r"\$(_\{[^{}]*\})", r"$1\$"),
-        *[(r"\$\}", r"}\$")] * 5,
-    ):
+    for pattern, out in (*MARKER_REPAIRS, *[STRAY_DOLLAR] * STRAY_DOLLAR_ROUNDS):
         c = F.regexp_replace(c, pattern, out)
     return c
 
 
 def repair_outside(c: Column) -> Column:
     """Bare symbols and Greek names outside of formulas wrapped in dollars."""
-    greek = rf"\\({'|'.join(REPAIRED_GREEK)}){WORD_END}(?!\s*[\^_])(?:\s*(/)\s*([0-9]+))?"
+    greek = rf"\\({'|'.join(REPAIRED_GREEK)}){WORD_END}(?!{S.SPACE}*[\^_])(?:{S.SPACE}*(/){S.SPACE}*([0-9]+))?"
 
     def edit(p: Column) -> Column:
         for char, command in UNICODE_COMMANDS.items():
@@ -179,13 +217,13 @@ def repair(c: Column) -> Column:
 
 def is_clean(c: Column) -> Column:
     """Whether nothing is left that repair would have had to touch; a null is clean."""
-    spans = F.regexp_extract_all(c, F.lit(r"(\$[^$]*\$)"), F.lit(1))
+    spans = F.regexp_extract_all(c, F.lit(DOLLAR_SPAN), F.lit(1))
     unbalanced = F.exists(spans, lambda p: S.char_count(p, "{") != S.char_count(p, "}"))
     dirty = (
-        c.rlike(r"\[(FRAC|SUPER|SUB|SQRT):")
-        | c.rlike(r"(^|[^\\A-Za-z])(frac|sqrt)([^A-Za-z]|$)")
-        | c.rlike(r"(^|[^A-Za-z\\])ell([^A-Za-z]|$)")
-        | c.rlike(r"\$\^|\$_|\$\}")
+        c.rlike(LEFT_MARKER)
+        | c.rlike(BARE_COMMAND)
+        | c.rlike(BARE_ELL)
+        | c.rlike(DOLLAR_SCRIPT)
         | (S.char_count(c, "$") % 2 != 0)
         | unbalanced
     )
@@ -204,20 +242,6 @@ def classify(df: DataFrame, question: str = "question_text", answer: str = "answ
 def legacy_normalize(c: Column) -> Column:
     """The old normaliser: other markers, scripts and roots as characters, lone formulas wrapped."""
     c = F.coalesce(c, F.lit(""))
-    for pattern, out in (
-        (r"\x{200B}", ""),
-        (r"\[FRAC:([^|]+)\|([^\]]+)\]", r"\\frac{$1}{$2}"),
-        (r"\[SQRT:([^\]]+)\]", r"\\sqrt{$1}"),
-        (r"\[SUPER:\s*\|([^\]]+)\]", "^{$1}"),
-        (r"\[SUPER:([^|]+)\|([^\]]+)\]", "$1^{$2}"),
-        (r"\[SUB:\s*\|([^\]]+)\]", "_{$1}"),
-        (r"\[SUB:([^|]+)\|([^\]]+)\]", "$1_{$2}"),
-        ("π", r"\\pi "), ("θ", r"\\theta "), ("ω", r"\\omega "), ("∝", r"\\propto "),
-        (r"√\((.*?)\)", r"\\sqrt{$1}"), ("√([a-zA-Z0-9])", r"\\sqrt{$1}"),
-        ("([a-zA-Z0-9])²", "$1^{2}"), ("([a-zA-Z0-9])³", "$1^{3}"), ("([a-zA-Z0-9])₁", "$1_{1}"), ("([a-zA-Z0-9])₂", "$1_{2}"),
-        (r"(?<!\$)(\\[a-zA-Z]+\{[^}]*\}(?:\{[^}]*\})?)(?!\$)", r"\$$1\$"),
-        (r"(?<!\$)([a-zA-Z0-9]+[\^_]\{[^}]*\})(?!\$)", r"\$$1\$"),
-        (S.WIDE_CONTROLS, ""),
-    ):
+    for pattern, out in LEGACY_STEPS:
         c = F.regexp_replace(c, pattern, out)
     return S.js_trim(c)

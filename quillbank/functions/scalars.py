@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from quillbank.sources import model
 
-# White space at the ends of a text; what leaves a text before printing.
-EDGE_SPACE = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
+# What counts as white space, CJK spaces included; what leaves a text before printing; private hosts.
+SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+EDGE_SPACE = rf"^{SPACE}+|{SPACE}+$"
+LEADING_INTEGER = rf"^{SPACE}*([+-]?[0-9]+)"
+FENCE_START, FENCE_END = rf"^```[A-Za-z]*{SPACE}*", rf"{SPACE}*```$"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F0FF}\x{1F1E6}-\x{1F1FF}\x{FE0F}]"
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 WIDE_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 CJK = r"[\x{2E80}-\x{9FFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\x{3400}-\x{4DBF}]"
+LOCAL_HOSTS = ("localhost", "0.0.0.0")
 PRIVATE_HOST = r"^127\.|^10\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[0-1])\.|^169\.254\."
+PRIVATE_LITERAL, PRIVATE_NAME = r"^\[(::1\]|f[cd][0-9a-f]{0,2}:|fe80:)", r"^::1$|^fc|^fd|^fe80"
 
 
 def js_trim(c: Column) -> Column:
@@ -29,9 +34,18 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
+def _leading_integer(c: Column) -> Column:
+    return F.regexp_extract(F.coalesce(c.cast("string"), F.lit("")), LEADING_INTEGER, 1)
+
+
 def js_parse_int(c: Column) -> Column:
-    """The integer that a text starts with, null if it starts with none."""
-    return F.regexp_extract(F.coalesce(c.cast("string"), F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int")
+    """The integer that a text starts with, null if it starts with none (or with one beyond 64 bits)."""
+    return _leading_integer(c).try_cast("bigint")
+
+
+def js_parse_number(c: Column) -> Column:
+    """The same as a double, which has room for any number of digits."""
+    return _leading_integer(c).try_cast("double")
 
 
 def js_like(c: Column, q: str) -> Column:
@@ -90,14 +104,29 @@ def is_safe_url(c: Column, allow: list[str] | None = None, strict: bool = True)
     """Whether an image may be fetched from there. ``strict`` also refuses private IPv6 literals; without it their patterns are matched against bare host names."""
     host = F.lower(F.try_parse_url(c, F.lit("HOST")))
     scheme = F.lower(F.try_parse_url(c, F.lit("PROTOCOL")))
-    inner = r"^\[(::1\]|f[cd][0-9a-f]{0,2}:|fe80:)" if strict else r"^::1$|^fc|^fd|^fe80"
-    bad = host.isin("localhost", "0.0.0.0") | host.endswith(".local") | host.rlike(PRIVATE_HOST) | host.rlike(inner)
+    inner = PRIVATE_LITERAL if strict else PRIVATE_NAME
+    bad = host.isin(*LOCAL_HOSTS) | host.endswith(".local") | host.rlike(PRIVATE_HOST) | host.rlike(inner)
     good = scheme.isin("http", "https") & host.isNotNull() & ~bad
     if allow:
         good = good & host.isin([a.strip().lower() for a in allow])
     return F.coalesce(good, F.lit(False))
 
 
+def is_safe_address(url: str) -> bool:
+    """``is_safe_url`` for one address outside of a query: the hop of a redirect."""
+    import re
+    from urllib.parse import urlsplit
+
+    try:
+        parts = urlsplit(url)
+        host = parts.netloc.rpartition("@")[2].lower()
+        host = host[: host.index("]") + 1] if host.startswith("[") else host.partition(":")[0]
+    except ValueError:
+        return False
+    bad = host in LOCAL_HOSTS or host.endswith(".local") or re.search(PRIVATE_HOST, host) or re.search(PRIVATE_LITERAL, host)
+    return parts.scheme.lower() in ("http", "https") and bool(host) and not bad
+
+
 def csv_list(c: Column, lower: bool = False) -> Column:
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.lower(js_trim(x)) if lower else js_trim(x))
     return F.filter(parts, lambda x: x != "")
@@ -106,7 +135,7 @@ def csv_list(c: Column, lower: bool = False) -> Column:
 def unfence(c: Column) -> Column:
     """A reply without its Markdown fence; replies that don't start with one stay as they are."""
     body = js_trim(c)
-    inner = F.regexp_replace(F.regexp_replace(body, r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
+    inner = F.regexp_replace(F.regexp_replace(body, FENCE_START, ""), FENCE_END, "")
     return F.when(body.startswith("```"), inner).otherwise(body)
 
 
@@ -148,7 +177,7 @@ def char_count(c: Column, char: str) -> Column:
 
 def normalize_difficulty(c: Column) -> Column:
     n = js_parse_int(c)
-    return F.when(n.between(1, 5), n)
+    return F.when(n.between(1, 5), n.cast("int"))
 
 
 def default_null(c: Column, value) -> Column:
@@ -169,7 +198,7 @@ def ceil_div(a: Column, b: Column) -> Column:
 
 def check_count(c: Column, most: int = model.MAX_DRAW) -> Column:
     """Null if a requested number of questions is sound, else what is wrong with it."""
-    n = js_parse_int(c)
+    n = js_parse_number(c)
     return F.when(c.isNull(), "required").when(n.isNull() | (n < 1), "not_positive").when(n > most, "too_many")
 
 

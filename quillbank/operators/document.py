@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,8 @@ def doc_plan(papers: DataFrame, bank: DataFrame) -> DataFrame:
         )).alias("b"),
     )
     at = number * STRIDE
-    image = F.when(S.is_safe_url(F.col("question_img")), block(at + 1, "image", F.col("question_img")))
+    # coalesce: a question without an image has a null address.
+    image = F.when(F.coalesce(S.is_safe_url(F.col("question_img")), F.lit(False)), block(at + 1, "image", F.col("question_img")))
     room = F.when(F.col("question_type").isin(*WITH_ROOM), F.array(block(at + 2, "line", F.lit("")), block(at + 3, "line", F.lit(""))))
     label = S.question_label(number, F.col("question_type"), F.col("difficulty"))
     answer = F.concat(F.lit("第 "), number.cast("string"), F.lit(" 題答案："))
@@ -65,9 +67,14 @@ def doc_plan(papers: DataFrame, bank: DataFrame) -> DataFrame:
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _M = "http://schemas.openxmlformats.org/officeDocument/2006/math"
+_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_WP = "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"
+_A, _PIC = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/picture"
 _TYPES = (
     '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
     '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+    '<Default Extension="png" ContentType="image/png"/><Default Extension="jpeg" ContentType="image/jpeg"/>'
+    '<Default Extension="gif" ContentType="image/gif"/><Default Extension="bmp" ContentType="image/bmp"/>'
     '<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 )
 _RELS = (
@@ -100,19 +107,56 @@ def paragraph(kind: str, text: str, parts) -> str:
     return f"<w:p>{look}{body}</w:p>"
 
 
-def package(paragraphs: list[str]) -> bytes:
-    """A Word file of paragraphs."""
+# How an image stands on the page (pixels of 9525 units), and how files of an image kind start.
+IMAGE_WIDTH, IMAGE_HEIGHT, PIXEL = 300, 200, 9525
+IMAGE_STARTS = {b"\x89PNG": "png", b"\xff\xd8": "jpeg", b"GIF8": "gif", b"BM": "bmp"}
+
+
+def image_kind(data: bytes) -> str:
+    return next((kind for start, kind in IMAGE_STARTS.items() if data.startswith(start)), "png")
+
+
+def picture(number: int) -> str:
+    """A centred paragraph with the ``number``-th image, and an empty one below it."""
+    size = f'cx="{IMAGE_WIDTH * PIXEL}" cy="{IMAGE_HEIGHT * PIXEL}"'
+    drawing = (
+        f'<w:drawing><wp:inline distT="0" distB="0" distL="0" distR="0"><wp:extent {size}/><wp:docPr id="{number}" name="image{number}"/>'
+        f'<a:graphic xmlns:a="{_A}"><a:graphicData uri="{_PIC}"><pic:pic xmlns:pic="{_PIC}"><pic:nvPicPr><pic:cNvPr id="{number}" name="image{number}"/><pic:cNvPicPr/></pic:nvPicPr>'
+        f'<pic:blipFill><a:blip r:embed="rIdImage{number}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill>'
+        f'<pic:spPr><a:xfrm><a:off x="0" y="0"/><a:ext {size}/></a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing>'
+    )
+    return f'<w:p><w:pPr><w:jc w:val="center"/></w:pPr><w:r>{drawing}</w:r></w:p><w:p/>'
+
+
+def package(paragraphs: list[str], images: list[bytes] = ()) -> bytes:
+    """A Word file of paragraphs; ``picture(n)`` among them shows the n-th image, from 1."""
     held = io.BytesIO()
-    document = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{_W}" xmlns:m="{_M}"><w:body>{"".join(paragraphs)}</w:body></w:document>'
+    document = (
+        f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{_W}" xmlns:m="{_M}" xmlns:r="{_R}" xmlns:wp="{_WP}"><w:body>{"".join(paragraphs)}</w:body></w:document>'
+    )
+    files = [("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", document)]
+    if images:
+        names = [f"image{n}.{image_kind(data)}" for n, data in enumerate(images, 1)]
+        links = "".join(f'<Relationship Id="rIdImage{n}" Type="{_R}/image" Target="media/{name}"/>' for n, name in enumerate(names, 1))
+        files.append(("word/_rels/document.xml.rels", f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>'))
+        files += [(f"word/media/{name}", data) for name, data in zip(names, images, strict=True)]
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, content in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", document)):
+        for name, content in files:
             # A fixed time, so that equal papers are equal files.
             z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
     return held.getvalue()
 
 
-def write_docx(plan: DataFrame) -> DataFrame:
-    """(paper_id, docx): a file per paper; a paper has ``MAX_DRAW`` questions at most."""
+def write_docx(plan: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(paper_id, docx): a file per paper; a paper has ``MAX_DRAW`` questions at most.
+
+    images: (url, bytes), as ``readers.fetch_images`` gives them. An image that isn't there is left out.
+    """
+    if images is None:
+        held = plan.withColumn("bytes", F.lit(None).cast("binary"))
+    else:
+        known = images.filter(F.col("bytes").isNotNull()).select(F.lit("image").alias("kind"), F.col("url").alias("text"), "bytes").dropDuplicates(["text"])
+        held = plan.join(known, ["kind", "text"], "left")
 
     def build(frame):
         import json
@@ -120,24 +164,94 @@ def write_docx(plan: DataFrame) -> DataFrame:
         import pandas as pd
 
         rows = frame.sort_values("block_no")
-        paragraphs = [paragraph(k, t, json.loads(x) if x else None) for k, t, x in zip(rows["kind"], rows["text"], rows["xml"], strict=True)]
-        return pd.DataFrame({"paper_id": [rows["paper_id"].iloc[0]], "docx": [package(paragraphs)]})
+        paragraphs, found = [], []
+        for kind, text, xml, data in zip(rows["kind"], rows["text"], rows["xml"], rows["bytes"], strict=True):
+            if kind != "image":
+                paragraphs.append(paragraph(kind, text, json.loads(xml) if xml else None))
+            elif data is not None:
+                found.append(bytes(data))
+                paragraphs.append(picture(len(found)))
+        return pd.DataFrame({"paper_id": [rows["paper_id"].iloc[0]], "docx": [package(paragraphs, found)]})
+
+    return held.select("paper_id", "block_no", "kind", "text", "xml", "bytes").groupBy("paper_id").applyInPandas(build, "paper_id long, docx binary")
+
+
+# The words of the two reports.
+SEVERITIES = {"error": "嚴重", "warn": "警告", "info": "提示"}
+FIELDS = {"question": "題目", "answer": "答案"}
+REPORT_TITLE, PREVIEW_TITLE, NOTHING_FOUND = "題庫公式健檢報告", "公式修正預覽", "沒有偵測到任何公式問題"
+
+
+def _cells(*cells: Column) -> Column:
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
 
-    return plan.groupBy("paper_id").applyInPandas(build, "paper_id long, docx binary")
+def _named(c: Column, names: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), c)
 
 
 def html_report(found: DataFrame, bank: DataFrame) -> DataFrame:
-    """(html): one fragment per question with issues, joined in order of id. A report is for reading; it is as long as what it reports."""
-    listed = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("field", "sev", "code"))).alias("issues"))
-    said = F.transform("issues", lambda i: F.concat(F.lit('<li class="'), i["sev"], F.lit('">'), i["field"], F.lit(": "), S.html_escape(i["code"]), F.lit("</li>")))
-    shown = listed.join(bank.select("id", "question_text"), "id").select(
-        "id", F.concat(F.lit("<h3>#"), F.col("id").cast("string"), F.lit("</h3><p>"), S.html_escape(S.snippet(F.col("question_text"), 160)), F.lit("</p><ul>"), F.array_join(said, ""), F.lit("</ul>")).alias("part")
-    )
-    return shown.select("id", F.col("part").alias("html"))
+    """(id, html): the table rows of each question with issues, by field and code."""
+    said = found.join(bank.select("id", "subject", "chapter", "question_text", "answer_text"), "id")
+    text = F.coalesce(F.when(F.col("field") == "question", F.col("question_text")).otherwise(F.col("answer_text")), F.lit(""))
+    where = F.concat(S.html_escape(F.col("subject")), F.lit("<br>"), S.html_escape(F.col("chapter")))
+    row = _cells(F.col("id").cast("string"), where, _named(F.col("field"), FIELDS), _named(F.col("sev"), SEVERITIES), S.html_escape(F.col("code")), F.concat(F.lit("<code>"), S.html_escape(S.snippet(text, 160)), F.lit("</code>")))
+    rows = said.select("id", F.struct("field", "sev", "code", row.alias("row")).alias("r")).groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    return rows.select("id", F.array_join(F.transform("rows", lambda r: r["row"]), "").alias("html"))
+
+
+def report_totals(found: DataFrame, bank: DataFrame) -> DataFrame:
+    """One row: questions, flagged and the issues of each severity."""
+    counted = found.agg(F.countDistinct("id").alias("flagged"), *[F.count_if(F.col("sev") == s).alias(s) for s in SEVERITIES])
+    return bank.agg(F.count(F.lit(1)).alias("questions")).join(counted).select("questions", "flagged", *SEVERITIES)
+
+
+def _page(title: str, totals: list[tuple[str, int]], body) -> Iterator[str]:
+    yield f'<!DOCTYPE html><html lang="zh-TW"><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><p>'
+    yield "　".join(f"{name}：<b>{n}</b>" for name, n in totals) + "</p>"
+    yield from body
+    yield "</body></html>"
+
+
+def report_document(found: DataFrame, bank: DataFrame) -> Iterator[str]:
+    """The whole report, part by part; rows come from the cluster one partition at a time, in order of id."""
+    totals = report_totals(found, bank).first()
+    head = [("總題數", totals.questions), ("有問題題目", totals.flagged), *[(label, totals[s]) for s, label in SEVERITIES.items()]]
+
+    def body():
+        if not totals.flagged:
+            yield f"<p>{NOTHING_FOUND}</p>"
+            return
+        yield "<table><tr><th>ID</th><th>科目/章節</th><th>欄位</th><th>等級</th><th>問題</th><th>內容片段</th></tr>"
+        for r in html_report(found, bank).orderBy("id").toLocalIterator():
+            yield r.html
+        yield "</table>"
+
+    return _page(REPORT_TITLE, head, body())
 
 
 def html_preview(classified: DataFrame) -> DataFrame:
-    """(id, bucket, html): what a repair would change."""
-    cell = lambda c: F.concat(F.lit("<td>"), S.html_escape(F.col(c)), F.lit("</td>"))
-    row = F.concat(F.lit("<tr><td>"), F.col("id").cast("string"), F.lit("</td>"), cell("question_text"), cell("new_question"), cell("answer_text"), cell("new_answer"), F.lit("</tr>"))
+    """(id, bucket, html): what a repair would change, or what it leaves to people."""
+    cell = lambda c: S.html_escape(F.col(c))
+    row = _cells(F.col("id").cast("string"), cell("question_text"), cell("new_question"), cell("answer_text"), cell("new_answer"))
     return classified.filter("bucket IS NOT NULL").select("id", "bucket", row.alias("html"))
+
+
+def preview_totals(classified: DataFrame) -> DataFrame:
+    """One row: questions, and how many would be repaired or need a person."""
+    return classified.agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("bucket") == "auto").alias("auto"), F.count_if(F.col("bucket") == "manual").alias("manual"))
+
+
+def preview_document(classified: DataFrame) -> Iterator[str]:
+    """The whole preview, part by part: first what is repaired, then what isn't, each in order of id."""
+    totals = preview_totals(classified).first()
+
+    def body():
+        rows = html_preview(classified)
+        for bucket, label in (("auto", "將自動修復"), ("manual", "需人工處理")):
+            yield f"<h2>{label}（{totals[bucket]}）</h2><table>"
+            for r in rows.filter(F.col("bucket") == bucket).orderBy("id").toLocalIterator():
+                yield r.html
+            yield "</table>"
+
+    return _page(PREVIEW_TITLE, [("總題數", totals.questions), ("將自動修復", totals.auto), ("需人工處理", totals.manual)], body())

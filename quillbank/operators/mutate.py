@@ -1,12 +1,13 @@
 """Changing the bank: every mutation is a DataFrame to a DataFrame.
 
-Writes are staged: a changed table is written next to the old one and swapped in, so a
-reader sees the one or the other (``swap``), and several tables of one transaction are
-staged first and swapped last (``commit``).
+Tables of one transaction are committed together (``commit``): each is written to a folder
+of its own, and one small file that names all of them appears last and at once. Readers go
+by the newest such file, so they see all tables as before or all as after.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,8 +113,15 @@ def backup(df: DataFrame, path: str) -> None:
 
 
 def lay_out(bank: DataFrame, path: str) -> None:
-    """The layout that stands in for the (subject, chapter) index: a folder per subject, rows sorted so that row groups can be skipped."""
-    bank.repartition("subject").sortWithinPartitions("chapter", "id").write.partitionBy("subject").mode("overwrite").parquet(path)
+    """The layout that stands in for the (subject, chapter) index: a folder per subject, rows sorted so that row groups can be skipped.
+
+    Tasks are ranges of (subject, chapter, id), so few subjects don't mean few tasks.
+    """
+    bank.repartitionByRange("subject", "chapter", "id").sortWithinPartitions("subject", "chapter", "id").write.partitionBy("subject").mode("overwrite").parquet(path)
+
+
+class Conflict(RuntimeError):
+    """Another commit came first."""
 
 
 def _fs(spark: SparkSession, path: str):
@@ -121,22 +129,55 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
-def commit(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
-    """Write all tables (path to content) to staging folders, and only when every one is written swap them in."""
-    staged = {}
+def current(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """(number of the last commit, table name to folder); (0, {}) before the first one."""
+    fs, at = _fs(spark, f"{root}/_commits")
+    if not fs.exists(at):
+        return 0, {}
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()]
+    if not numbers:
+        return 0, {}
+    last = max(numbers)
+    return last, json.loads(spark.read.text(f"{root}/_commits/{last:020d}", wholetext=True).first().value)
+
+
+def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{current(spark, root)[1][name]}")
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], after: int | None = None) -> int:
+    """Write tables (name to content) under ``root`` and make all of them current at once; the number of the commit.
+
+    Tables that aren't given stay as they are. The file that names the folders is written
+    aside and renamed, which succeeds for one writer only: if another commit has appeared
+    since ``after`` (the last one, if not given), this one fails with ``Conflict`` and
+    leaves nothing behind. Folders of earlier commits stay for readers that still use them.
+    """
+    last, held = current(spark, root)
+    last = last if after is None else after
+    staged = {name: f"{name}/{uuid.uuid4().hex}" for name in tables}
+    aside = f"{root}/_commits/_{uuid.uuid4().hex}"
+    jvm = spark._jvm
     try:
-        for path, df in tables.items():
-            staged[path] = f"{path}.staged-{uuid.uuid4().hex}"
-            df.write.parquet(staged[path])
+        for name, df in tables.items():
+            df.write.parquet(f"{root}/{staged[name]}")
+        fs, at = _fs(spark, aside)
+        out = fs.create(at, False)
+        out.write(json.dumps({**held, **staged}).encode())
+        out.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        target = jvm.org.apache.hadoop.fs.Path(f"{root}/_commits/{last + 1:020d}")
+        try:
+            files.rename(at, target, options)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"commit {last + 1} of {root} is there already") from e
+            raise
     except Exception:
-        for there in staged.values():
+        for there in (*[f"{root}/{path}" for path in staged.values()], aside):
             fs, at = _fs(spark, there)
             fs.delete(at, True)
         raise
-    for path, there in staged.items():
-        fs, at = _fs(spark, path)
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
-        if fs.exists(at):
-            fs.rename(at, old)
-        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(there), at)
-        fs.delete(old, True)
+    return last + 1

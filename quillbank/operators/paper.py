@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillbank.functions import rules
 from quillbank.functions import scalars as S
-from quillbank.operators import mutate, relational
-from quillbank.sources import model
+from quillbank.operators import document, mutate, relational
+from quillbank.sources import model, readers
 
 
 class Refused(ValueError):
@@ -59,8 +59,41 @@ def generate_paper(bank: DataFrame, papers: DataFrame, student_name, subject, ch
     return Paper(mutate.record(bank, ids, one.safe, one.day), mutate.add_paper(papers, one.title, one.trimmed, ids, now), questions, one.title, ids)
 
 
+def draw_and_commit(spark: SparkSession, root: str, student_name, subject, chapter, count, seed, now, tz: str = "UTC") -> Paper:
+    """``generate_paper`` on the committed ``questions`` and ``exam_papers`` under ``root``, with both changes in one commit.
+
+    A draw that another commit has overtaken fails with ``mutate.Conflict`` and changes nothing.
+    """
+    last, _ = mutate.current(spark, root)
+    bank, papers = (mutate.read_committed(spark, root, name) for name in ("questions", "exam_papers"))
+    drawn = generate_paper(bank, papers, student_name, subject, chapter, count, seed, now, tz)
+    mutate.commit(spark, root, {"questions": drawn.bank, "exam_papers": drawn.papers}, after=last)
+    return drawn
+
+
+def export_paper(bank: DataFrame, title: str, student: str, ids: list[int] | None, now, fetch=readers.fetch_images) -> tuple[str, bytes]:
+    """(file name, Word file) of the listed questions, in this order; ids that the bank lacks drop out, an empty list is refused."""
+    if not isinstance(ids, list) or not ids:
+        raise Refused("no_questions")
+    spark = bank.sparkSession
+    papers = mutate.add_paper(spark.createDataFrame([], model.PAPER_SCHEMA), title, student, ids, now)
+    plan = document.doc_plan(papers, bank.filter(F.col("id").isin(ids)))
+    images = fetch(plan.filter("kind = 'image'").select(F.col("text").alias("url")).distinct()) if fetch else None
+    name = papers.select(F.concat(S.filename(F.col("title")), F.lit(".docx")).alias("name")).first().name
+    return name, bytes(document.write_docx(plan, images).first().docx)
+
+
+def extract_questions(files: DataFrame, client=None) -> DataFrame:
+    """(path, idx and the fields) of the questions that a client reads out of files; no file at all is refused."""
+    if files.isEmpty():
+        raise Refused("no_file")
+    return readers.extracted_questions(readers.extract(files, client))
+
+
 def batch_save(bank: DataFrame, rows: DataFrame) -> DataFrame:
-    """``bank`` with a validated batch, all of it or none."""
+    """``bank`` with a validated batch, all of it or none; an empty batch is refused."""
+    if rows.isEmpty():
+        raise Refused("empty")
     checked = rules.validate_batch(rows)
     told = rules.batch_errors(checked).first()
     if told.n_errors:

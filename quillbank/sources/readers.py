@@ -50,18 +50,30 @@ def extracted_questions(replies: DataFrame) -> DataFrame:
     return replies.select("path", F.posexplode(S.unfence_json(F.col("raw_json"))).alias("idx", "q")).select("path", "idx", "q.*")
 
 
+def open_checked(url: str, timeout: float):
+    """The answer of an address; every hop of a redirect must be as safe as the first address."""
+    from urllib.error import URLError
+    from urllib.request import HTTPRedirectHandler, build_opener
+
+    class Checked(HTTPRedirectHandler):
+        def redirect_request(self, req, fp, code, msg, headers, newurl):
+            if not S.is_safe_address(newurl):
+                raise URLError("redirected to an address that isn't safe")
+            return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+    return build_opener(Checked).open(url, timeout=timeout)
+
+
 def fetch_images(urls: DataFrame, timeout: float = 8.0, max_bytes: int = model.MAX_IMAGE_BYTES, opener: Callable | None = None) -> DataFrame:
     """``urls`` (url) with ``bytes``: null where the address isn't safe or the answer is no image of a fair size."""
     checked = urls.withColumn("_safe", S.is_safe_url(F.col("url")))
 
     def get(frames):
-        from urllib.request import urlopen
-
         def one(url, safe):
             if not safe:
                 return None
             try:
-                with (opener or urlopen)(url, timeout=timeout) as answer:
+                with (opener or open_checked)(url, timeout=timeout) as answer:
                     kind, data = answer.headers.get("content-type") or "", answer.read(max_bytes + 1)
             except Exception:  # noqa: BLE001  an image that can't be had is left out
                 return None
@@ -73,8 +85,12 @@ def fetch_images(urls: DataFrame, timeout: float = 8.0, max_bytes: int = model.M
     return checked.select("url", "_safe").mapInPandas(get, "url string, bytes binary")
 
 
-def read_jdbc(spark: SparkSession, options: dict[str, str], table: str, partitions: int = 10) -> DataFrame:
-    return spark.read.format("jdbc").options(**options, dbtable=table, numPartitions=str(partitions)).load()
+def read_jdbc(spark: SparkSession, options: dict[str, str], table: str, column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 10) -> DataFrame:
+    """A table of a database; with a numeric ``column`` and its ``bounds`` in as many ranges, else in one task."""
+    reader = spark.read.format("jdbc").options(**options, dbtable=table)
+    if column and bounds:
+        reader = reader.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(partitions))
+    return reader.load()
 
 
 def write_jdbc(df: DataFrame, options: dict[str, str], table: str, connections: int = 10) -> None:

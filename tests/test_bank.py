@@ -85,6 +85,9 @@ def test_batch_is_all_or_nothing(spark, bank):
     with pytest.raises(paper.Refused) as e:
         paper.batch_save(bank, rows.withColumn("subject", F.when(F.col("idx") == 2, "化學").otherwise(F.col("subject"))))
     assert e.value.details["n"] == 1 and "第 3 題" in e.value.details["message"]
+    with pytest.raises(paper.Refused) as e:
+        paper.batch_save(bank, rows.limit(0))
+    assert e.value.code == "empty"
 
 
 def test_insert_update_delete(spark, bank):
@@ -116,16 +119,40 @@ def test_fetch_keeps_order_and_repeats(spark, bank):
     assert [(r.pos, r.id) for r in got] == [(0, 9), (1, 3), (3, 9)]
 
 
-def test_commit_swaps_all_or_nothing(spark, bank, tmp_path):
-    at = str(tmp_path / "bank"), str(tmp_path / "other")
-    mutate.commit(spark, {at[0]: bank.limit(3), at[1]: bank.limit(1)})
-    assert spark.read.parquet(at[0]).count() == 3
+def test_commit_is_one_for_all_tables(spark, bank, tmp_path):
+    root = str(tmp_path / "store")
+    assert mutate.current(spark, root) == (0, {})
+    assert mutate.commit(spark, root, {"a": bank.limit(3), "b": bank.limit(1)}) == 1
+    before = mutate.read_committed(spark, root, "a")
     broken = bank.select(F.raise_error(F.lit("no")).cast("int").alias("x"))
     with pytest.raises(Exception, match="no"):
-        mutate.commit(spark, {at[0]: bank.limit(9), at[1]: broken})
-    assert spark.read.parquet(at[0]).count() == 3 and spark.read.parquet(at[1]).count() == 1
-    mutate.commit(spark, {at[0]: bank.limit(9)})
-    assert spark.read.parquet(at[0]).count() == 9
+        mutate.commit(spark, root, {"a": bank.limit(9), "b": broken})
+    assert mutate.current(spark, root)[0] == 1 and mutate.read_committed(spark, root, "a").count() == 3
+    assert mutate.commit(spark, root, {"a": bank.limit(9)}) == 2
+    # The other table stays, and who reads the old version still can.
+    assert mutate.read_committed(spark, root, "a").count() == 9 and mutate.read_committed(spark, root, "b").count() == 1 and before.count() == 3
+    with pytest.raises(mutate.Conflict):
+        mutate.commit(spark, root, {"a": bank.limit(5)}, after=1)
+    assert mutate.read_committed(spark, root, "a").count() == 9
+    assert len([p for p in (tmp_path / "store" / "a").iterdir() if p.is_dir()]) == 2
+
+
+def test_draw_and_commit(spark, bank, papers, tmp_path):
+    root = str(tmp_path / "store")
+    mutate.commit(spark, root, {"questions": bank, "exam_papers": papers})
+    one = paper.draw_and_commit(spark, root, "A", "數學", "指數與對數", 5, "seed", NOW)
+    two = paper.draw_and_commit(spark, root, "A", "數學", "指數與對數", 3, "seed", NOW)
+    assert not set(one.ids) & set(two.ids) and mutate.current(spark, root)[0] == 3
+    assert mutate.read_committed(spark, root, "exam_papers").count() == 2
+    with pytest.raises(paper.Refused):
+        paper.draw_and_commit(spark, root, "A", "數學", "指數與對數", 1, "seed", NOW)
+    assert mutate.current(spark, root)[0] == 3
+
+
+def test_layout_has_more_tasks_than_subjects(spark, bank, tmp_path):
+    mutate.lay_out(bank.repartition(3), str(tmp_path / "bank"))
+    back = spark.read.parquet(str(tmp_path / "bank"))
+    assert back.count() == 30 and {r.subject for r in back.select("subject").distinct().collect()} == {"數學", "物理"}
 
 
 def test_whitelist(spark):
@@ -145,6 +172,30 @@ def test_limiter(spark):
     assert got[99].key == "unknown"
 
 
+def test_limiter_walks_long_keys_once(spark):
+    """20,000 hits of one key against a plain loop; batches of rows don't matter."""
+    import random
+
+    rng, now, hits = random.Random(4), 0, []
+    for i in range(20_000):
+        now += rng.choice([0, 1, 700, 9_000])
+        hits.append((rng.choice(["hot"] * 9 + ["b", "c"]), now, i))
+    df = spark.createDataFrame(hits, "key string, ms long, seq long").withColumn("ts", F.timestamp_millis("ms")).repartition(5)
+    state, want = {}, {}
+    for key, at, seq in hits:
+        n, reset = state.get(key, (0, None))
+        if reset is None or at >= reset:
+            n, reset = 0, at + 60_000
+        state[key] = (n + 1, reset)
+        want[seq] = (key, n + 1, n + 1 <= 10, reset)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.seq: (r.key, r.hit_no, r.allowed, r.reset_ms) for r in limiter.rate_limit(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def test_documents(spark, bank, papers):
     import io
     import zipfile
@@ -195,3 +246,79 @@ def test_images(spark):
         return Answer()
 
     assert {r.url: r.bytes for r in readers.fetch_images(urls, opener=opener).collect()} == {"https://a.org/x.png": b"png", "http://localhost/x": None, "https://b.org/fails": None}
+
+
+def test_redirects_are_checked():
+    assert all(S.is_safe_address(u) for u in ("https://a.org/x", "http://172.32.0.1/x", "https://user@b.org:8080/x"))
+    unsafe = ("http://localhost/x", "http://10.0.0.1", "https://a.local/", "ftp://a.org", "http://[::1]/", "http://[fd00::1]/x", "http://user@127.0.0.1/", "x", "http://[broken")
+    assert not any(S.is_safe_address(u) for u in unsafe)
+
+
+def test_redirect_to_a_private_host_is_refused():
+    import http.server
+    import threading
+    import urllib.error
+
+    class Redirects(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(302)
+            self.send_header("Location", "http://127.0.0.1:1/secret")
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Redirects)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with pytest.raises(urllib.error.URLError, match="isn't safe"):
+            readers.open_checked(f"http://127.0.0.1:{server.server_port}/x", 5)
+    finally:
+        server.shutdown()
+
+
+def test_export_paper(spark, bank):
+    import io
+    import zipfile
+
+    png = b"\x89PNG rest"
+    with_images = bank.withColumn("question_img", F.when(F.col("id") == 9, "https://a.org/x.png").when(F.col("id") == 3, "https://a.org/gone.png").when(F.col("id") == 4, "http://localhost/x.png"))
+
+    def fetch(urls):
+        assert {r.url for r in urls.collect()} <= {"https://a.org/x.png", "https://a.org/gone.png"}
+        return urls.withColumn("bytes", F.when(F.col("url").endswith("x.png"), F.lit(png)))
+
+    name, file = paper.export_paper(with_images, "a 卷", "B", [9, 3, 999999, 4], NOW, fetch)
+    held = zipfile.ZipFile(io.BytesIO(file))
+    text = held.read("word/document.xml").decode()
+    assert name == "a%20%E5%8D%B7.docx" and held.read("word/media/image1.png") == png and text.count("<w:drawing>") == 1
+    assert 'Target="media/image1.png"' in held.read("word/_rels/document.xml.rels").decode() and f'cx="{300 * 9525}" cy="{200 * 9525}"' in text
+    rows = {r.id: r.question_text for r in bank.collect()}
+    # As listed, with the gap of the id that isn't there.
+    assert text.index("第 1 題. [") < text.index("第 2 題. [") < text.index("第 4 題. [") and "第 3 題. [" not in text
+    assert text.index(rows[9].split(" ")[0]) < text.index(rows[3].split(" ")[0]) < text.index(rows[4].split(" ")[0])
+    assert "gone" not in text and "localhost" not in text
+    for nothing in ([], None, "1"):
+        with pytest.raises(paper.Refused) as e:
+            paper.export_paper(bank, "t", "s", nothing, NOW)
+        assert e.value.code == "no_questions"
+
+
+def test_extract_questions(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"abc")
+    found = paper.extract_questions(readers.read_files(spark, str(tmp_path)), lambda content: '[{"subject":"物理"}]')
+    assert [r.subject for r in found.collect()] == ["物理"]
+    with pytest.raises(paper.Refused):
+        paper.extract_questions(readers.read_files(spark, str(tmp_path), max_bytes=1))
+
+
+def test_reports(spark, bank):
+    from quillbank.functions import latex, rules
+
+    asked = bank.withColumn("question_text", F.when(F.col("id") == 2, "a < b $").otherwise(F.col("question_text")))
+    page = "".join(document.report_document(rules.audit(asked, converts=latex.converts), asked))
+    assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>") and "總題數：<b>30</b>" in page and "嚴重：<b>1</b>" in page and "a &lt; b $" in page
+    assert document.NOTHING_FOUND in "".join(document.report_document(rules.audit(bank.filter("id = 3")), bank.filter("id = 3")))
+    fixed = asked.withColumn("question_text", F.when(F.col("id") == 3, "[FRAC:1|2]").otherwise(F.col("question_text")))
+    page = "".join(document.preview_document(rules.classify(fixed)))
+    assert "將自動修復（1）" in page and "需人工處理（1）" in page and page.index("[FRAC:1|2]") < page.index("a &lt; b $")

@@ -20,6 +20,8 @@ REPAIRS = {
     "a×b $c×d$": r"a$\times$b $c×d$",
     r"\pi中": r"$\pi$中",
     r"\pi / 2": r"$\pi/2$",
+    "\\pi\u3000/\u30002": r"$\pi/2$",
+    "\\pi\u3000^2": "\\pi\u3000^2",
     r"\theta^2": r"\theta^2",
     r"\theta _1": r"\theta _1",
     "lone $ b × \\pi": r"lone $ b $\times$ $\pi$",
@@ -38,6 +40,7 @@ def test_repair(spark):
         ("a $", {"odd_dollars"}),
         ("{{}", {"unbalanced_braces"}),
         ("a/b", {"slash_fraction"}),
+        ("a\u3000/\u3000b", {"slash_fraction"}),
         ("https://x.org/a/b", set()),
         ("a ≤ b", {"unicode_math"}),
         ("x^2", {"bare_latex"}),
@@ -58,6 +61,12 @@ def test_audit_answers(spark):
     assert got == {(1, "answer", "no_answer"), (2, "answer", "no_answer"), (3, "answer", "no_answer"), (5, "question", "odd_dollars"), (5, "answer", "slash_fraction")}
 
 
+def test_audit_reports_what_cannot_be_converted(spark):
+    rows = spark.createDataFrame([(1, "bad", "ok"), (2, "fine", "bad"), (3, " ", "ok")], "id long, question_text string, answer_text string")
+    got = {(r.id, r.field, r.sev, r.code) for r in rules.audit(rows, converts=lambda c: c == "fine").collect()}
+    assert got == {(1, "question", "error", "unconvertible"), (1, "answer", "error", "unconvertible"), (2, "answer", "error", "unconvertible"), (3, "answer", "error", "unconvertible")}
+
+
 def test_clean(spark):
     dirty = ["[FRAC:1", "a frac b", "an ell", "$^2", "a$", "${a$", "x}$}"]
     clean = [None, "", r"\frac{1}{2}", "ellipse", "$a$ b", r"fraction \ell"]
