@@ -124,6 +124,17 @@ def split_semi_join(left: DataFrame, keys: DataFrame, on: list[str], most: int =
     return left.join(F.broadcast(hot), on, "left_semi").union(rest)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task; a Python worker waits for the next one with all it once took."""
+    import ctypes
+    import gc
+    import sys
+
+    gc.collect()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def in_a_process_of_its_own(f, *args):
     """``f(*args)`` from a forked process, so that the memory it takes goes back when it is done; a Python worker that is used again would keep it."""
     import multiprocessing

@@ -40,7 +40,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, settle, small_join
+from .common import chunks, discard, give_back, settle, small_join
 from .components import components
 
 M = 128
@@ -160,6 +160,8 @@ def sketch(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:3], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["row", "doc", "print", "n", "digest", "sketch"]
                 )
+        del hasher
+        give_back()
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "row long, doc long, print long, n long, digest binary, sketch binary")

@@ -5,8 +5,9 @@ unseen) and a learned vector out of a hashed table; from the character side, the
 and the mean log-odds of its character grams (word edges marked) and the mean of learned
 vectors of those grams. Two gated recurrent units read a window of ``WINDOW`` words in
 either direction; attention pools their states; a logistic unit scores the window. A
-text's score is that of its highest window, and every window is scored: windows start
-every ``STRIDE`` words, each word is in two, and the last window reaches the end.
+text's score is that of its highest window, and every window of the text is scored, from its
+first word to its last: half-overlapping windows, which start every ``STRIDE`` words, so each
+word is in two and any ``STRIDE`` neighbouring words lie in one whole; the last one reaches the end.
 
 Fitting happens in one task, on at most ``MOST_FIT`` labelled rows of each class (those
 of least key hash): log-odds are counted on two folds and applied across them, so the
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, in_a_process_of_its_own
+from .common import chunks, give_back, in_a_process_of_its_own
 
 WINDOW, STRIDE = 32, 16
 #: Labelled rows of each class at most: the bound of the sample that the network is fitted on.
-MOST_FIT = 2000
+MOST_FIT = 2500
 HIDDEN, ATTEND, LEARNED = 8, 8, 4
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 16
 LONG_WORD = 64
@@ -270,7 +271,7 @@ def window_ids(ids, first, length):
     return np.where(mask, ids[np.minimum(first[:, None] + place, max(len(ids) - 1, 0))] if len(ids) else 0, 0), mask.astype(np.float32)
 
 
-def score_windows(net: Network, gates, ids, counts, batch: int = 4096):
+def score_windows(net: Network, gates, ids, counts, batch: int = 2048):
     """Logits of all windows, and the windows."""
     import numpy as np
 
@@ -355,7 +356,7 @@ class Scorer:
         self.vocabulary, self.net = vocabulary, net
         self.names: dict[str, int] = {}
         self.cores: dict[str, int] = {}
-        self.gates = np.zeros((1024, 2, 3 * HIDDEN), np.float32)
+        self.gates = np.empty((1024, 2, 3 * HIDDEN), np.float32)
 
     def learn(self, words) -> None:
         import numpy as np
@@ -369,7 +370,10 @@ class Scorer:
             rows = self.net.project(self.net.embed(self.vocabulary.inputs(part)))
             n = len(cores)
             while n + len(part) > len(self.gates):
-                self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+                # Rows that aren't written take no memory yet.
+                grown = np.empty((2 * len(self.gates), *self.gates.shape[1:]), np.float32)
+                grown[:n] = self.gates[:n]
+                self.gates = grown
             self.gates[n : n + len(part)] = rows
             cores.update(zip(part, range(n, n + len(part)), strict=True))
         names.update(zip(fresh, map(cores.__getitem__, plain), strict=True))
@@ -436,6 +440,8 @@ def score(df: DataFrame, model, text: str = "text", threshold: float = THRESHOLD
             for part in chunks(batch, at, 1 << 20):
                 found = scorer.scores(part.column(at).to_pylist()) if scorer else [0.0] * part.num_rows
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "score"])
+        del scorer
+        give_back()
 
     scored = source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -87,3 +87,48 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in tx.score(docs, tx.train(docs, labels)).collect()] == [0.0]
+
+
+def plain_score(vocabulary, net, text):
+    """Window by window and word by word, with plain loops over the formulas of the network."""
+    words = [tx.core(w) for w in tx.split(text)]
+    h_, p = tx.HIDDEN, {k: np.asarray(v, float) for k, v in net.p.items()}
+    starts, at = [0], 0
+    while at + tx.WINDOW < len(words):
+        at += tx.STRIDE
+        starts.append(at)
+    best = -np.inf
+    for start in starts:
+        window = words[start : start + tx.WINDOW]
+        inputs = []
+        for w in window:
+            fixed, bucket, grams, _ = vocabulary.inputs([w])
+            inputs.append(np.concatenate([fixed[0], p["word"][bucket[0]], p["gram"][grams].mean(axis=0)]))
+        states = np.zeros((len(window), 2 * h_))
+        for d, order in ((0, range(len(window))), (1, reversed(range(len(window))))):
+            h = np.zeros(h_)
+            for t in order:
+                x, u = inputs[t] @ p["wx"][d] + p["b"][d], h @ p["u"][d]
+                z, r = (1 / (1 + np.exp(-(x[k * h_ : (k + 1) * h_] + u[k * h_ : (k + 1) * h_]))) for k in (0, 1))
+                n = np.tanh(x[2 * h_ :] + r * u[2 * h_ :])
+                h = z * h + (1 - z) * n
+                states[t, d * h_ : (d + 1) * h_] = h
+        pooled = np.zeros(2 * h_)
+        if len(window):
+            weight = np.exp([float(np.tanh(s @ p["a"]) @ p["v"][:, 0]) for s in states])
+            pooled = (weight / weight.sum()) @ states
+        best = max(best, float(pooled @ p["o"][:, 0] + p["c"][0]))
+    return 1 / (1 + np.exp(-best))
+
+
+def test_scores_against_plain_loops():
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 90))) + (" zuxx" if i % 2 else "") for i in range(60)]
+    held = tx.fit(texts, [i % 2 for i in range(60)])
+    asked = [None, "", "one", "zuxx", " ".join(vocabulary), " ".join(vocabulary[: tx.WINDOW]), " ".join(vocabulary[: tx.WINDOW + 1]), "w" * 300 + " Word, (word) É", *texts[:6]]
+    scorer = tx.Scorer(*held)
+    want = [plain_score(*held, t) for t in asked]
+    assert np.allclose(scorer.scores(asked), want, atol=1e-4)
+    # In other company and other chunks a text keeps its score.
+    assert np.allclose([scorer.scores([t])[0] for t in asked], want, atol=1e-4)
