@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import is_small, settle, shingles, small_join, words
+from .common import discard, is_small, settle, shingles, small_join, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -134,7 +134,10 @@ def _found(
     found = shared.join(asked, own_pair, "left_semi").join(sizes, own_item)
     found = found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
     # n_shared * 100 against a whole number: no rounding decides.
-    return found.filter(F.col("n_shared") * 100 >= F.round(F.lit(threshold * 100)).cast("long") * F.col("n_item"))
+    reached = F.col("n_shared") * 100 >= F.round(F.lit(threshold * 100)).cast("long") * F.col("n_item")
+    kept = settle(found.filter(reached).select("doc_id", "doc_print", "item_id", "n_item", "n_shared", "containment"), "found")
+    discard(parts, index, candidates, wanted)
+    return kept
 
 
 def find_contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

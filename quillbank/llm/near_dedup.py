@@ -357,8 +357,8 @@ def settle_buckets(members: DataFrame, named: DataFrame, reps: DataFrame, texts:
     crowd = placed.join(leads, "bucket")
     stored = crowd.select("bucket", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "component", "doc")
     asking = crowd.filter("component <> lead").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "component", "doc")
-    flagged = settle(_sift(stored.union(asking).join(reps, "doc"), percent), "flagged").distinct()
-    sized = flagged.join(texts.select("doc", F.octet_length("text").alias("bytes")), "doc")
+    flagged = settle(_sift(stored.union(asking).join(reps, "doc"), percent), "flagged")
+    sized = flagged.distinct().join(texts.select("doc", F.octet_length("text").alias("bytes")), "doc")
     sized = settle(sized, "sized")
     parts = sized.filter("asks = 0").groupBy("bucket", "block").agg(F.ceil((F.sum("bytes") + 1) / F.lit(block_bytes)).cast("int").alias("parts"))
     spread = sized.join(parts, ["bucket", "block"])
@@ -366,7 +366,7 @@ def settle_buckets(members: DataFrame, named: DataFrame, reps: DataFrame, texts:
     part = F.explode(F.when(F.col("asks") == 0, own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("part")
     units = spread.select("bucket", "block", part, "asks", "component", "doc").join(texts, "doc")
     links = settle(_compare(units, width, percent).distinct(), "bucket-links")
-    discard(placed, leads, sized)
+    discard(placed, leads, flagged, sized)
     return links
 
 

@@ -76,3 +76,15 @@ def test_every_stage_against_brute_force(spark, tables, tmp_path):
 def test_run(spark, tables):
     got = corpus_pipeline.run(spark, tables[0])
     assert {"doc_id", "text", "shard", "slot"} <= set(got.columns) and got.count() > 50
+
+
+def test_run_on_empty_and_bare_tables(spark, tables, tmp_path):
+    """No rows at all; and rows of nulls, empty texts, repeats and shared keys, without labels or benchmark."""
+    schemas = {name: spark.read.parquet(f"{tables[0]}/{name}.parquet").schema for name in ("documents", "benchmark", "labels")}
+    for case, rows in (("empty", []), ("bare", [(None, None, None, None, None)] * 2 + [(1, "", "en", "s", 0)] * 3 + [(1, "a b c", None, None, 5), (1, "d e f", "x", None, 5), (2, "a b c", "en", "s", 5)])):
+        path = str(tmp_path / case)
+        for name, schema in schemas.items():
+            spark.createDataFrame(rows if name == "documents" else [], schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+        got = corpus_pipeline.run(spark, path).collect()
+        assert (not got) if case == "empty" else {r.text for r in got} <= {"a b c", "d e f"}
+        assert sorted(r.slot for r in got if r.shard == 0) == list(range(sum(r.shard == 0 for r in got)))
