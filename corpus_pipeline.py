@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the columns
 of ``documents``.
+
+Rows without a key are judged by their own text like all others, as are rows that share a
+key. Null and empty texts pass toxicity by the score of an empty window, have no copies and
+hold no benchmark item; the mix takes documents without words 0 times, so they end there. Of
+rows that repeat wholly near-dedup leaves one. Without labels of both classes nothing is
+toxic, without benchmark items nothing is contaminated, and no documents give no rows. Near-dedup
+takes five words, as word shingles do where no contract says otherwise; op4's two are its own.
 """
 
 from __future__ import annotations
