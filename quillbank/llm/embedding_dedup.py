@@ -333,3 +333,18 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     rows = keyed.join(of_class, "digest", "left")
     least = F.coalesce("component", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).cast(T.LongType()).alias("n_links"), least.alias("component_id"), (F.col("vec_id") == least).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER () AS r, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (SELECT vec_id, r, e, len(e) AS dim FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.dim = b.dim AND a.r <> b.r
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END
+), counts AS (SELECT r, count(*) AS n FROM pairs GROUP BY r),
+edges AS (SELECT DISTINCT a, b FROM pairs),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.seen),
+named AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, vec_id = component AS kept
+FROM v LEFT JOIN counts USING (r) JOIN named ON node = vec_id
+"""

@@ -438,3 +438,24 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", **option
 
     extra = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<struct<lo:int,hi:int>>, kept binary")
     return joined.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *extra.fields]))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS raw FROM documents),
+long_enough AS (SELECT r, raw FROM d WHERE octet_length(raw) >= 200),
+windows AS (SELECT r, i, md5(array_slice(raw, i, i + 199)) AS h FROM (SELECT r, raw, unnest(range(1, octet_length(raw) - 198)) AS i FROM long_enough)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i FROM windows SEMI JOIN again USING (h)),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM hit),
+numbered AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+spans AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM numbered GROUP BY r, run),
+bounds AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS done FROM spans),
+cut AS (
+  SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS rest,
+    string_agg(CASE WHEN lo > done THEN hex(array_slice(raw, done, lo - 1)) ELSE '' END, '' ORDER BY lo) AS head
+  FROM bounds JOIN long_enough USING (r) GROUP BY r
+)
+SELECT doc_id, octet_length(raw) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN rest IS NULL THEN raw ELSE unhex(head || CASE WHEN rest <= octet_length(raw) THEN hex(array_slice(raw, rest, octet_length(raw))) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

@@ -85,4 +85,11 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op4_near_dedup": near_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": near_dedup.ORACLE,
+    "op5_passage_dedup": passage_dedup.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op7_embedding_dedup": embedding_dedup.ORACLE,
+    "op8_chat_format": chat_format.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+}
