@@ -4,7 +4,9 @@ Pivots are fitted on a bounded sample (vectors of least key hash, twice as many
 of which a farthest-first walk picks the pivots). Their number is twice the square root of
 the number of vectors, so that lists keep their length as the table grows, until the
 pivots fill ``PIVOT_BYTES``; beyond that, lists grow with the table and the work on them
-faster than it. Every vector is described by its permutation: its ``NEAREST`` pivots,
+faster than it. ``PIVOT_BYTES`` is for the ``MOST_LENGTHS`` commonest lengths of vectors
+together; vectors of any other length have no pivots and meet in one list for each length,
+which is exact. Every vector is described by its permutation: its ``NEAREST`` pivots,
 nearest first. Inverted lists hold the vectors by pairs of these pivots, so two vectors
 meet in a list if and only if their count of shared pivots is ``SHARED = 2`` at least,
 whatever the order; each pair that meets is settled in the least list it shares. Vectors
@@ -36,8 +38,10 @@ from pyspark.sql import types as T
 from .common import discard, settle, small_join
 from .components import components
 
-#: Bytes of the pivots at most (the sample they are picked from: twice that), whatever the input.
+#: Bytes of all pivots at most (the sample they are picked from: twice that), whatever the input.
 PIVOT_BYTES = 16 << 20
+#: Lengths of vectors, the commonest ones, that have pivots.
+MOST_LENGTHS = 16
 LEAST_SAMPLE = 4096
 #: Nearest pivots that describe a vector, and how many of them two vectors must share to meet.
 NEAREST = 7
@@ -47,8 +51,12 @@ COSINE = 0.9
 BLOCK = 1024
 
 
-def n_pivots(n: int, dim: int) -> int:
-    return max(2 * NEAREST, min(PIVOT_BYTES // (8 * dim), 2 * math.isqrt(max(n, 1))))
+def n_pivots(n: int, dim: int, most_bytes: int = PIVOT_BYTES) -> int:
+    return max(2 * NEAREST, min(most_bytes // (8 * dim), 2 * math.isqrt(max(n, 1))))
+
+
+def n_sample(k: int, dim: int, most_bytes: int = PIVOT_BYTES) -> int:
+    return max(2 * k, min(LEAST_SAMPLE, 2 * most_bytes // (8 * dim)))
 
 
 def pick_pivots(sample, k: int):
@@ -159,12 +167,12 @@ def _describe(classes: DataFrame, pivots) -> DataFrame:
                 rep, mult, dim = (batch.column(c).to_numpy() for c in range(3))
                 for d in np.unique(dim).tolist():
                     every = np.flatnonzero(dim == d)
-                    held = pivots.value[d]
+                    held = pivots.value.get(d)
                     # Few rows at a time where there are many pivots.
-                    rows = max(16, (1 << 21) // len(held))
+                    rows = max(16, (1 << 21) // len(held)) if held is not None else 1024
                     for own in np.split(every, range(rows, len(every), rows)):
                         x = unit(batch.column(3).take(pa.array(own)).flatten().to_numpy().reshape(-1, d))
-                        near = permutation(x, held).astype(np.int32)
+                        near = permutation(x, held).astype(np.int32) if held is not None else np.zeros((len(own), 0), np.int32)
                         keys = list_keys(near, d)
                         yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(mult[own]), pa.array(list(keys), pa.list_(pa.int64())), pa.array([r.tobytes() for r in near], pa.binary()), pa.array(encode(x), pa.binary())], schema=schema)
 
@@ -307,18 +315,26 @@ def _links(described: DataFrame, classes: DataFrame, cosine: float) -> DataFrame
     return links
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+def _fit_pivots(classes: DataFrame) -> dict:
+    """Pivots by length of vector, for the commonest lengths."""
     import numpy as np
 
-    keyed, classes = _classes(df, key, vector)
-    classes = settle(classes, "vectors")
-    sizes = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_length = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    common = by_length.orderBy(F.desc("n"), "dim").limit(MOST_LENGTHS).collect()
+    share = PIVOT_BYTES // max(len(common), 1)
     pivots = {}
-    for dim, n in sizes.items():
-        k = n_pivots(n, dim)
-        sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep", "digest")).select("v").limit(max(2 * k, LEAST_SAMPLE)).collect()
+    for dim, n in common:
+        k = n_pivots(n, dim, share)
+        sample = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("rep", "digest")).select("v").limit(n_sample(k, dim, share)).collect()
         pivots[dim] = pick_pivots(unit(np.array([r.v for r in sample])), k)
+    return pivots
+
+
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row."""
+    keyed, classes = _classes(df, key, vector)
+    classes = settle(classes, "vectors")
+    pivots = _fit_pivots(classes)
     described = settle(_describe(classes, df.sparkSession.sparkContext.broadcast(pivots)), "index")
     found = _links(described, classes, cosine)
     discard(described)

@@ -63,3 +63,26 @@ def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
 
 def test_empty(spark):
     assert ed.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_many_lengths(spark, monkeypatch):
+    """Lengths beyond those that have pivots are compared exactly, in blocks."""
+    monkeypatch.setattr(ed, "MOST_LENGTHS", 2)
+    monkeypatch.setattr(ed, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in range(1, 8):
+        base = rng.normal(size=(3, dim))
+        rows += [(len(rows) + i, [float(np.float32(x)) for x in base[i % 3] + 0.05 * rng.normal(size=dim)]) for i in range(60 - 4 * dim)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want, _ = brute(rows)
+    lengths = {i: len(v) for i, v in rows}
+    assert all(got[i] == want[i] for i in want if lengths[i] > 2)
+    assert all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_samples_are_bounded():
+    for dim in (2, 64, 768, 4096, 100_000):
+        k = ed.n_pivots(10**12, dim)
+        assert k == 2 * ed.NEAREST or 8 * dim * k <= ed.PIVOT_BYTES
+        assert ed.n_sample(k, dim) * 8 * dim <= max(2 * ed.PIVOT_BYTES, 4 * ed.NEAREST * 8 * dim)
