@@ -23,8 +23,8 @@ same document or another, is removed. Strings are judged on the input.
 5. The repeated stretches of each document are merged and cut out.
 
 Null texts are empty; texts of fewer than ``LENGTH`` bytes lose nothing. Repeated rows repeat each other. Rows
-are told apart by key and text, so rows that share a key don't disturb each other; rows
-without a key are handled alike. An empty table gives an empty result. Columns that are
+are told apart by hashes of key and text, 95 bits together, so rows that share a key, however
+many, don't disturb each other; rows without a key are handled alike. An empty table gives an empty result. Columns that are
 called like an output are replaced.
 """
 
@@ -224,13 +224,14 @@ def merge_runs(lo, hi):
 _NAME = "doc long, print int"
 
 
-def _print(text: str):
-    return F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int")
+def _names(key: str, text: str):
+    """What tells rows apart, 95 bits from two hashes: a row's key and text together, then its text by itself."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text)), F.pmod(F.hash(text), F.lit(1 << 31)).cast("int")
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    return df.select(own.alias("doc"), _print(text).alias("print"), F.col(text).alias("text"))
+    doc, mark = _names(key, text)
+    return df.select(doc.alias("doc"), mark.alias("print"), F.col(text).alias("text"))
 
 
 def _long_enough(batches, length: int):
@@ -365,7 +366,7 @@ def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, bl
 def repeated_stretches(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, hot: int | None = None, block: int = BLOCK
 ) -> DataFrame:
-    """(doc, print, lo, hi): stretches of bytes, overlapping, that together are all that repeats."""
+    """(doc, print, lo, hi): stretches of bytes, overlapping, that together are all that repeats; rows by ``_names``."""
     keyed = _keyed(df, key, text)
     hot, fine = HOT if hot is None else hot, max(step // FINE, 1)
     rows = settle(_anchor_rows(keyed, length, gram, step), "anchors", hashes=True)
@@ -403,7 +404,8 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", **option
     made = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
     kept = [c for c in df.columns if c not in made]
     by_doc = repeated_stretches(df, key, text, **options).groupBy("doc", "print").agg(F.collect_list(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("_runs"))
-    named = df.select(*kept, F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_doc"), _print(text).alias("_print"))
+    doc, mark = _names(key, text)
+    named = df.select(*kept, doc.alias("_doc"), mark.alias("_print"))
     joined = named.join(by_doc.withColumnsRenamed({"doc": "_doc", "print": "_print"}), ["_doc", "_print"], "left").select(*kept, "_runs")
     at, runs_at = kept.index(text), len(kept)
 

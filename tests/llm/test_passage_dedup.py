@@ -85,3 +85,15 @@ def test_suffix_arrays():
         got = suffix_array(text)
         assert sorted(got.tolist()) == list(range(len(text)))
         assert [tuple(text[i : upto[i]]) for i in got] == sorted(tuple(text[i : upto[i]]) for i in range(len(text)))
+
+
+def test_one_key_for_many_texts(spark):
+    """Thousands of different texts under one key or none: the names of rows are told by all their bits."""
+    rng = random.Random(3)
+    texts = [f"{i:05d}" + "".join(rng.choices("abcdefgh", k=10)) for i in range(3000)]
+    texts += [f"{i}" + "z" * 45 + f"{i}" for i in range(100, 130)]
+    df = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    names = df.select(*(c.alias(n) for c, n in zip(pd._names("doc_id", "text"), "ab", strict=True)))
+    assert names.select("a").distinct().count() == len(texts)
+    got = {r.text: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in pd.cut_repeats(df, length=40, gram=10, step=10).collect()}
+    assert [got[t] for t in texts] == brute(texts, 40)
