@@ -10,7 +10,8 @@ first word to its last: half-overlapping windows, which start every ``STRIDE`` w
 word is in two and any ``STRIDE`` neighbouring words lie in one whole; the last one reaches the end.
 
 Fitting happens in one task, on at most ``MOST_FIT`` labelled rows of each class (those
-of least key hash): log-odds are counted on two folds and applied across them, so the
+of least key hash, taken in that order while those before them hold less than ``FIT_BYTES``
+of text; a row that repeats wholly counts once): log-odds are counted on two folds and applied across them, so the
 network never trains on a word's own document; then, in rounds, the currently highest
 window of each document (and a random one of clean documents) is trained on by
 backpropagation through time with Adam. Scoring is one narrow pass without a shuffle.
@@ -29,12 +30,15 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import chunks, give_back, in_a_process_of_its_own
 
 WINDOW, STRIDE = 32, 16
 #: Labelled rows of each class at most: the bound of the sample that the network is fitted on.
 MOST_FIT = 2500
+#: Bytes of text of each class after which no further labelled row joins that sample.
+FIT_BYTES = 32 << 20
 HIDDEN, ATTEND, LEARNED = 8, 8, 4
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 16
 LONG_WORD = 64
@@ -395,22 +399,29 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, fold: int | None = None) -> DataFrame:
-    """At most ``MOST_FIT`` labelled rows of each class, those of least key hash; without the fold ``fold`` of three."""
+    """At most ``MOST_FIT`` labelled rows of each class, those of least key hash, up to ``FIT_BYTES``; without the fold ``fold`` of three."""
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1)")
     if fold is not None:
         known = known.filter(F.crc32(F.col("_key").cast("string")) % 3 != fold)
     order = [F.xxhash64("_key"), F.col("_key")]
     drawn = known.filter("_y = 1").orderBy(*order).limit(MOST_FIT).union(known.filter("_y = 0").orderBy(*order).limit(MOST_FIT))
     # Two limits bound this side, so it is broadcast.
-    return docs.join(F.broadcast(drawn), F.col(key) == F.col("_key")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("_y").alias("y"))
+    held = docs.join(F.broadcast(drawn.distinct()), F.col(key) == F.col("_key")).select(F.col(key).alias("key"), F.col("_y").alias("y"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    # Sizes first, so that no more text is moved than the sample may hold; a key that repeats must not outgrow it either.
+    sizes = held.groupBy("key", "y", "print").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    order = [F.xxhash64("key"), F.col("key"), F.col("print")]
+    least = sizes.filter("y = 1").orderBy(*order).limit(MOST_FIT).union(sizes.filter("y = 0").orderBy(*order).limit(MOST_FIT))
+    before = F.sum("size").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    chosen = least.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < FIT_BYTES)
+    names = ["key", "y", "print"]
+    return held.join(F.broadcast(chosen.select(*names)), names, "left_semi").dropDuplicates(names).select(*names, "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fold: int | None = None):
     """A fitted pair, or None. It is fitted in one task, as its sample has a fixed bound; only the model (some MB) visits the driver."""
     import pickle
 
-    # A key that repeats must not outgrow the bound.
-    rows = training_rows(docs, labels, key, text, label, fold).orderBy("key", "y", F.xxhash64("text")).limit(2 * MOST_FIT)
+    rows = training_rows(docs, labels, key, text, label, fold).repartition(1).sortWithinPartitions("key", "y", "print")
 
     def run(batches):
         import pyarrow as pa
@@ -421,7 +432,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             y += batch.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(in_a_process_of_its_own(fit, texts, y))], pa.binary())], names=["model"])
 
-    found = rows.select("text", "y").coalesce(1).mapInArrow(run, "model binary").collect()
+    found = rows.select("text", "y").mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else None
 
 

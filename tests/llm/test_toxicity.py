@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -132,3 +133,20 @@ def test_scores_against_plain_loops():
     assert np.allclose(scorer.scores(asked), want, atol=1e-4)
     # In other company and other chunks a text keeps its score.
     assert np.allclose([scorer.scores([t])[0] for t in asked], want, atol=1e-4)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Rows and bytes of the fitting sample have bounds, whatever repeats; rows go in order of their key's hash."""
+    monkeypatch.setattr(tx, "MOST_FIT", 6)
+    monkeypatch.setattr(tx, "FIT_BYTES", 100)
+    rows = [(i, "w" * (30 if i % 2 else 60)) for i in range(40)] + [(3, "w" * 30)] * 20 + [(3, f"other {i}") for i in range(20)] + [(41, None), (None, "no key")]
+    docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], "doc_id long, text string, print string, y int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)] * 2 + [(None, 1), (5, 7)], "doc_id long, toxic int")
+    got = [(r.key, r.y, r.text) for r in tx.training_rows(docs, labels, "doc_id", "text", "toxic", 1).collect()]
+    assert len(set(got)) == len(got) and {y for _, y, _ in got} == {0, 1}
+    for y in (0, 1):
+        own = [t or "" for _, k, t in got if k == y]
+        assert 0 < len(own) <= 6 and sum(map(len, own)) - max(map(len, own)) < 100
+    assert all(zlib.crc32(str(k).encode()) % 3 != 1 for k, _, _ in got)
+    whole = tx.training_rows(docs, labels, "doc_id", "text", "toxic").filter("key = 3").count()
+    assert whole <= 6
