@@ -211,6 +211,22 @@ def test_documents(spark, bank, papers):
     assert document.write_docx(plan.repartition(4)).first().docx == file
 
 
+def test_read_questions_stay_on_the_executors(spark, bank, papers):
+    """However small the bank looks: its formulas read out are many times its size."""
+    listed = papers.sparkSession.createDataFrame([(1, "t", "A", "[1,2,1]", None), (2, "t", "B", "[2,99]", None)], papers.schema)
+    rows = document.doc_plan(listed, bank)
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+    read = next(n for n, line in enumerate(plan) if "ArrowEvalPython" in line)
+    above, depth = [], plan[read].index("ArrowEvalPython")
+    for line in reversed(plan[:read]):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if at < depth:
+            above, depth = [*above, line], at
+    assert any("SortMergeJoin" in line for line in above) and not any("Broadcast" in line for line in above)
+    kinds = sorted((r.paper_id, r.block_no // document.STRIDE) for r in rows.filter("kind = 'question'").collect())
+    assert kinds == [(1, 1), (1, 2), (1, 3), (2, 1)]
+
+
 def test_readers(spark, tmp_path):
     rows = readers.read_batch(spark, '{"questions":[{"subject":"數學","difficulty":3},{"chapter":"x"}]}').orderBy("idx").collect()
     assert [(r.idx, r.subject, r.difficulty) for r in rows] == [(0, "數學", "3"), (1, None, None)]
