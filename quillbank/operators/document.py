@@ -25,18 +25,20 @@ def header(student: Column, ts: Column) -> Column:
     return F.concat(F.lit("學生姓名："), student, F.lit("     |     得分：__________     |     列印日期："), S.print_date(ts))
 
 
-def doc_plan(papers: DataFrame, bank: DataFrame) -> DataFrame:
+def doc_plan(papers: DataFrame, bank: DataFrame, formulas: bool = True) -> DataFrame:
     """(paper_id, block_no, kind, text, xml) of papers (id, title, student_name, question_ids, created_at).
 
     Formulas are read in the one Python step, once for each question that stands on any
-    paper, and the blocks of all papers take them over.
+    paper, and the blocks of all papers take them over. Without ``formulas`` none is read,
+    and there is no xml; the blocks are the same.
     """
     listed = papers.select(F.col("id").alias("paper_id"), F.posexplode(S.ids_from_json(F.col("question_ids"))).alias("pos", "id"))
-    wanted = bank.join(listed.select("id").distinct(), "id", "left_semi")
-    read = wanted.select(
-        "id", "question_type", "difficulty", "question_img",
-        F.to_json(latex.render(F.col("question_text"))).alias("question_xml"), F.to_json(latex.render(F.col("answer_text"))).alias("answer_xml"),
-    )
+    said = ["id", "question_type", "difficulty", "question_img"]
+    if formulas:
+        wanted = bank.join(listed.select("id").distinct(), "id", "left_semi")
+        read = wanted.select(*said, F.to_json(latex.render(F.col("question_text"))).alias("question_xml"), F.to_json(latex.render(F.col("answer_text"))).alias("answer_xml"))
+    else:
+        read = bank.select(*said, F.lit("[]").alias("question_xml"), F.lit("[]").alias("answer_xml"))
     # merge: a read question is many times the size of its row in the bank, by which a broadcast would be judged.
     asked = listed.join(read.hint("merge"), "id")
     number = F.col("pos") + 1
@@ -63,7 +65,8 @@ def doc_plan(papers: DataFrame, bank: DataFrame) -> DataFrame:
         F.array_compact(F.array(image)),
         F.coalesce(room, F.array().cast("array<struct<block_no:bigint,kind:string,text:string,xml:string>>")),
     )
-    return front.union(asked.select("paper_id", F.explode(each).alias("b"))).select("paper_id", "b.*")
+    plan = front.union(asked.select("paper_id", F.explode(each).alias("b"))).select("paper_id", "b.*")
+    return plan if formulas else plan.drop("xml")
 
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"

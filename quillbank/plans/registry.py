@@ -800,7 +800,8 @@ def tokenize_formulas(spark, sf_dir):
 def _papers(spark, sf_dir) -> DataFrame:
     """A paper per order: its parts in line order."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
-    o = table(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"))
+    # merge: the keys of orders alone look small enough for a broadcast up to millions of rows.
+    o = table(spark, sf_dir, "orders").join(li.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("paper "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_custkey").cast("string").alias("student_name"), F.to_json("ids").alias("question_ids"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
 
 
@@ -828,7 +829,7 @@ UNION ALL SELECT paper_id, n * 8 + 3, 'line', '' FROM q WHERE question_type IN (
 def doc_blocks(spark, sf_dir):
     """The document plan without its formulas, which only a parser can give."""
     asked = bank(spark, sf_dir).withColumn("question_img", F.lit(None).cast("string"))
-    return document.doc_plan(_papers(spark, sf_dir), asked).drop("xml")
+    return document.doc_plan(_papers(spark, sf_dir), asked, formulas=False)
 
 
 def _escaped_sql(column: str) -> str:

@@ -227,6 +227,18 @@ def test_read_questions_stay_on_the_executors(spark, bank, papers):
     assert kinds == [(1, 1), (1, 2), (1, 3), (2, 1)]
 
 
+def test_blocks_without_formulas(spark, bank, papers):
+    """``doc_blocks`` has the plan's blocks, reads no formula and broadcasts no bank."""
+    from quillbank.plans import registry
+
+    listed = spark.createDataFrame([(1, "t", "A", "[1,2,1]", None), (2, "t", "B", "[2,99]", None), (3, "t", "C", "[]", None), (4, "t", "D", None, None)], papers.schema)
+    with_images = bank.withColumn("question_img", F.when(F.col("id") == 2, "https://a.org/x.png"))
+    rows = [sorted(map(repr, p.select("paper_id", "block_no", "kind", "text").collect())) for p in (document.doc_plan(listed, with_images), document.doc_plan(listed, with_images, formulas=False))]
+    assert rows[0] == rows[1] and sum("'image'" in r for r in rows[0]) == 2
+    plan = registry.QUERIES["doc_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "render_mixed" not in plan and "Broadcast" not in plan
+
+
 def test_readers(spark, tmp_path):
     rows = readers.read_batch(spark, '{"questions":[{"subject":"數學","difficulty":3},{"chapter":"x"}]}').orderBy("idx").collect()
     assert [(r.idx, r.subject, r.difficulty) for r in rows] == [(0, "數學", "3"), (1, None, None)]
