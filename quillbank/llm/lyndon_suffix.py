@@ -95,6 +95,10 @@ def lyndon_groups(text):
         follow = np.where(np.append(chain[1:], 0) == chain, where + 1, -1)
         precede = np.where(np.concatenate([[0], chain[:-1]]) == chain, where - 1, -1)
         taken = np.zeros(m + 1, bool)
+        # The place of each node in order, and a mark for those that move.
+        spot = np.empty(m, np.int64)
+        spot[order] = where
+        mark = np.zeros(m, bool)
         left = m
         while left:
             # A look at the greatest nodes: those with a greater neighbour to the right (equals skipped) will be split yet.
@@ -142,15 +146,30 @@ def lyndon_groups(text):
                 counts, starts = zeros[:m], firsts[:m]
                 counts[got[start]] = np.diff(np.append(start, len(got)))
                 starts[got[start]] = start
-                heads = np.unique(group[got])
-                many = size[heads]
-                places = np.repeat(heads - np.cumsum(many) + many, many) + np.arange(many.sum())
-                member = order[places]
-                _split(group, group[by], starts, counts, member)
-                counts[got[start]] = 0
-                member = member[np.argsort(group[member], kind="stable")]
-                order[places] = member
-                own = group[member]
+                # The others of their groups got nothing and come first: they stay where they are, those that got something go behind them.
+                moved = got[start]
+                moved = moved[np.argsort(group[moved], kind="stable")]
+                own = group[moved]
+                head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                many = np.diff(np.append(head, len(own)))
+                size[own[head]] -= many
+                behind = np.repeat(own[head] + size[own[head]], many)
+                places = behind + np.arange(len(own)) - np.repeat(head, many)
+                mark[moved] = True
+                there = order[places]
+                there = there[~mark[there]]
+                mark[moved] = False
+                freed = spot[moved]
+                freed = freed[freed < behind]
+                order[freed] = there
+                spot[there] = freed
+                group[moved] = behind
+                _split(group, group[by], starts, counts, moved)
+                counts[moved] = 0
+                moved = moved[np.argsort(group[moved], kind="stable")]
+                order[places] = moved
+                spot[moved] = places
+                own = group[moved]
                 head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 size[own[head]] = np.diff(np.append(head, len(own)))
         alive = alive[~kind]

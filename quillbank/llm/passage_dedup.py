@@ -15,7 +15,9 @@ same document or another, is removed. Strings are judged on the input.
    with another context of their anchor: any window that repeats does. Their bytes are
    cut out of the texts and dealt out by anchor, and suffix arrays are built over blocks
    of them (``lyndon_suffix``). Suffixes that agree in their first ``LENGTH`` bytes stand
-   side by side there; they are compared byte by byte.
+   side by side there; they are compared byte by byte. Before, windows are left out whose
+   hash no other context of the anchor has, and of what is left bytes that stand in one
+   another are sorted once and counted as often as they stand.
 4. An anchor with more than ``HOT`` such contexts isn't put into one task: its contexts are
    cut into pieces of ``STEP / FINE`` neighbouring windows, which are dealt out by the string that
    all windows of a piece hold. Equal windows lie in pieces of one string, so suffix arrays
@@ -41,8 +43,8 @@ GRAM = 50
 #: Windows of one anchor are told apart roughly by their offset, in steps of so many bytes.
 STEP = 50
 INNER = LENGTH - STEP
-#: Steps of pieces of contexts, and of the last look before suffix arrays, in each ``STEP``.
-FINE, FINEST = 5, 25
+#: Steps of pieces of contexts in each ``STEP``.
+FINE = 5
 #: Contexts of one anchor that stay together; beyond, they are cut into pieces.
 HOT = 2_000
 #: Bytes over which one suffix array is built.
@@ -140,48 +142,68 @@ def _sliding_least(values, width: int):
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def repeated_in(contexts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Of each context its stretches covered by ``length``-byte strings that start elsewhere in the contexts too, by one suffix array."""
+def repeated_in(strings: list[tuple[bytes, int]], copies, length: int = LENGTH, gram: int = GRAM):
+    """(copy, first byte, last byte + 1) as arrays: of each copy its stretches covered by ``length``-byte strings that start elsewhere in the copies too, by one suffix array.
+
+    strings: different bytes, each with a place whose ``gram`` bytes all its windows hold.
+    copies: (string, first window, number of windows) of all that stands somewhere, an array
+    with a row each; a string itself is a copy of all its windows. Copies are counted, not sorted.
+    """
     import numpy as np
 
     from .lyndon_suffix import suffix_array
 
-    joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
-    text = joined.astype(np.int32) + 1
-    sizes = np.array([len(c) + 1 for c in contexts])
+    joined = np.frombuffer(b"\0".join(s for s, _ in strings) + b"\0", np.uint8)
+    sizes = np.array([len(s) + 1 for s, _ in strings])
     ends = np.cumsum(sizes) - 1
+    base = ends - sizes + 1
+    text = joined.astype(np.int32) + 1
     text[ends] = 0
-    context = np.repeat(np.arange(len(contexts)), sizes)
-    order = suffix_array(text)
-    order = order[ends[context[order]] - order >= length]
-    found: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    if len(order) < 2:
-        return found
-    views = np.lib.stride_tricks.sliding_window_view(joined, length)
-    same = np.empty(len(order) - 1, bool)
-    for at in range(0, len(same), 8192):
-        upto = min(at + 8192, len(same))
-        held = views[order[at : upto + 1]]
-        same[at:upto] = (held[1:] == held[:-1]).all(axis=1)
+    dropped = np.zeros(len(text) + 1, np.int8)
+    if gram > 2:
+        # Of the bytes that all windows of a string hold two codes are left, which say which bytes they are: equal windows stay equal, others different.
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(s[at : at + gram], len(number)) for s, at in strings])
+        digits = int(len(number) ** 0.5) + 1
+        place = base + np.array([at for _, at in strings])
+        text[place], text[place + 1] = 257 + which // digits, 257 + which % digits
+        dropped[place + 2], dropped[place + gram] = 1, -1
+    where = np.flatnonzero(np.cumsum(dropped[:-1], dtype=np.int8) == 0)
+    order = where[suffix_array(text[where])]
+    order = order[np.repeat(ends, sizes)[order] - order >= length]
+    weight = np.zeros(len(text) + 1, np.int64)
+    string, first, windows = copies.T
+    np.add.at(weight, base[string] + first, 1)
+    np.add.at(weight, base[string] + first + windows, -1)
+    weight = np.cumsum(weight)
     hit = np.zeros(len(text), bool)
-    hit[order[:-1][same]] = True
-    hit[order[1:][same]] = True
-    start = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))
-    stop = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]))
-    base = ends - sizes + 1
-    # Runs of places never cross a context: its last length - 1 places start no window.
-    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-        c = context[a]
-        found[c].append((a - int(base[c]), b - int(base[c]) + length))
-    return found
-
-
-def thin_out(grams: Grams, contexts: list[tuple[int, int, bytes]], fine: int) -> list[tuple[int, int, int]]:
-    """(index, first, last): of contexts (anchor, the anchor's place in the bytes, bytes) the parts that can hold a repeat.
-
-    The windows of a context are taken in steps of ``fine`` bytes before the anchor; those
-    of one step all hold one string of ``length - fine`` bytes, and if no other context of
-    the anchor has it there, none of them repeats.
+    if len(order):
+        views = np.lib.stride_tricks.sliding_window_view(joined, length)
+        other = np.ones(len(order), bool)
+        for at in range(0, len(order) - 1, 8192):
+            upto = min(at + 8192, len(order) - 1)
+            held = views[order[at : upto + 1]]
+            other[at + 1 : upto + 1] = (held[1:] != held[:-1]).any(axis=1)
+        turn = np.flatnonzero(other)
+        hit[order] = np.repeat(np.add.reduceat(weight[order], turn) > 1, np.diff(np.append(turn, len(order))))
+    # All windows of all copies in a row.
+    done = np.cumsum(windows)
+    copy = np.repeat(np.arange(len(windows)), windows)
+    window = np.arange(len(copy)) - np.repeat(done - windows, windows)
+    hit = hit[(base[string] + first)[copy] + window]
+    edge = np.ones(len(copy) + 1, bool)
+    edge[1:-1] = copy[1:] != copy[:-1]
+    start = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate([[False], hit[:-1]])))
+    stop = np.flatnonzero(hit & (edge[1:] | ~np.concatenate([hit[1:], [False]])))
+    return copy[start], window[start], window[stop] + length
+
+
+def thin_out(grams: Grams, contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int, int, int]]:
+    """(index, first, last, string, shift): of contexts (anchor, the anchor's place in the bytes, bytes) the parts that can hold a repeat.
+
+    A part goes from the first to the last window that another context of the anchor has
+    by its hash. ``string`` is the number in this list of the part in whose bytes it stands,
+    ``shift`` bytes from their start: often another one, as copies of a passage have the same parts.
     """
     import numpy as np
 
@@ -190,25 +212,44 @@ def thin_out(grams: Grams, contexts: list[tuple[int, int, bytes]], fine: int) ->
     base = np.cumsum(size) - size
     place = base + np.array([c[1] for c in contexts])
     anchor = np.array([c[0] for c in contexts], np.int64).view(np.uint64)
-    sums = grams.sums(np.frombuffer(b"".join(c[2] for c in contexts), np.uint8))
-    steps = -(-(length - grams.gram + 1) // fine)
-    low, high = np.full(len(size), steps), np.full(len(size), -1)
-    for k in range(steps):
-        at = place - fine * k
-        own = np.flatnonzero(np.maximum(base, at - fine + 1) <= np.minimum(base + size - length, at))
-        if not len(own):
-            continue
-        with np.errstate(over="ignore"):
-            h = grams.hashes(sums, at[own], length - fine) ^ (anchor[own] * np.uint64(_FACTOR))
-        order = np.argsort(h, kind="stable")
-        twin = h[order][1:] == h[order][:-1]
-        hit = own[order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]]
-        low[hit] = np.minimum(low[hit], k)
-        high[hit] = k
-    kept = np.flatnonzero(high >= 0)
-    first = np.maximum(base, place - fine * high - fine + 1) - base
-    last = np.minimum(size, place - base - fine * low + length)
-    return [(i, int(first[i]), int(last[i])) for i in kept.tolist()]
+    raw = b"".join(c[2] for c in contexts)
+    sums = grams.sums(np.frombuffer(raw, np.uint8))
+    first, last = np.maximum(base, place - length + grams.gram), np.minimum(base + size - length, place)
+    windows = np.maximum(last - first + 1, 0)
+    own = np.repeat(np.arange(len(size)), windows)
+    at = np.arange(len(own)) + np.repeat(first - np.cumsum(windows) + windows, windows)
+    with np.errstate(over="ignore"):
+        h = grams.hashes(sums, at, length) ^ (anchor * np.uint64(_FACTOR))[own]
+    order = np.argsort(h)
+    turn = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(order) else order
+    number = np.diff(np.append(turn, len(order)))
+    shared = np.zeros(len(own), bool)
+    shared[order[np.repeat(number > 1, number)]] = True
+    shared = np.flatnonzero(shared)
+    if not len(shared):
+        return []
+    opens = np.flatnonzero(np.concatenate([[True], own[shared[1:]] != own[shared[:-1]]]))
+    head, tail = shared[opens], shared[np.append(opens[1:], len(shared)) - 1]
+    kept, lo, hi = own[head], at[head], at[tail]
+    part = np.full(len(size), -1)
+    part[kept] = np.arange(len(kept))
+    # Of the parts that have a part's first window, the one that goes on farthest from there; of equals the one that begins farthest before, then the first.
+    group = np.empty(len(own), np.int64)
+    group[order] = np.repeat(np.arange(len(turn)), number)
+    mine = part[own]
+    rank = np.where((mine >= 0) & (at >= lo[mine]) & (at <= hi[mine]), ((hi[mine] - at) << 47) | ((at - lo[mine]) << 31) | ((1 << 31) - 1 - mine), -1)
+    best = np.maximum.reduceat(rank[order], turn)[group[head]]
+    string = (1 << 31) - 1 - (best & ((1 << 31) - 1))
+    shift = (best >> 31) & 0xFFFF
+    for i in np.flatnonzero(string != np.arange(len(kept))).tolist():
+        from_ = int(lo[string[i]] + shift[i])
+        if raw[from_ : from_ + int(hi[i] - lo[i]) + length] != raw[int(lo[i]) : int(hi[i]) + length]:
+            string[i], shift[i] = i, 0
+    # A part stands in a longer one or in an earlier equal one, so this ends.
+    while (string[string] != string).any():
+        shift, string = shift + shift[string], string[string]
+    begin = base[kept]
+    return list(zip(*(x.tolist() for x in (kept, lo - begin, hi - begin + length, string, shift)), strict=True))
 
 
 def merge_runs(lo, hi):
@@ -322,30 +363,32 @@ def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, bl
     dealt = contexts.select("anchor", "doc", "print", "lo", "bytes", "at").repartition(tasks, "anchor").sortWithinPartitions("anchor")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         grams = Grams(length, gram, step)
-        finest = max(step // FINEST, 1)
-        raws, raw_size, held, size, last = [], 0, [], 0, None
+        raws, raw_size, strings, copies, size, last = [], 0, [], [], 0, None
 
         def thinned():
             """What is left of the contexts of some whole anchors goes to the block."""
             nonlocal raws, raw_size, size
-            if len(raws) > 1:
-                for i, a, b in thin_out(grams, [(r[0], r[5], r[4]) for r in raws], finest):
-                    _, doc, mark, lo, raw, _ = raws[i]
-                    held.append((doc, mark, lo + a, raw[a:b]))
+            parts = thin_out(grams, [(r[0], r[5], r[4]) for r in raws]) if len(raws) > 1 else []
+            number = {}
+            for k, (i, a, b, string, _) in enumerate(parts):
+                if string == k:
+                    number[k] = len(strings)
+                    strings.append((raws[i][4][a:b], raws[i][5] - a))
                     size += b - a
+            for i, a, b, string, shift in parts:
+                copies.append((raws[i][1], raws[i][2], raws[i][3] + a, number[string], shift, b - a - length + 1))
             raws, raw_size = [], 0
 
         def settled():
-            nonlocal held, size
-            rows = []
-            for (doc, mark, lo, _), runs in zip(held, repeated_in([h[3] for h in held], length), strict=True):
-                rows += [(doc, mark, lo + a, lo + b) for a, b in runs]
-            held, size = [], 0
-            cols = zip(*rows, strict=True) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc", "print", "lo", "hi"])
+            nonlocal strings, copies, size
+            doc, mark, lo = (np.array(c) for c in zip(*(c[:3] for c in copies), strict=True))
+            copy, a, b = repeated_in(strings, np.array([c[3:] for c in copies]), length, gram)
+            strings, copies, size = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((doc[copy], mark[copy], lo[copy] + a, lo[copy] + b), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc", "print", "lo", "hi"])
 
         for batch in batches:
             for anchor, doc, mark, lo, raw, at in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
@@ -357,7 +400,7 @@ def _by_suffix_arrays(contexts: DataFrame, length: int, gram: int, step: int, bl
                 raws.append((anchor, doc, mark, lo, raw, at))
                 raw_size, last = raw_size + len(raw), anchor
         thinned()
-        if len(held) > 1:
+        if copies:
             yield settled()
 
     return dealt.mapInArrow(run, f"{_NAME}, lo int, hi int")

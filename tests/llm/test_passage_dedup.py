@@ -97,3 +97,43 @@ def test_one_key_for_many_texts(spark):
     assert names.select("a").distinct().count() == len(texts)
     got = {r.text: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in pd.cut_repeats(df, length=40, gram=10, step=10).collect()}
     assert [got[t] for t in texts] == brute(texts, 40)
+
+
+def test_copies_are_sorted_once(monkeypatch):
+    """Contexts that share a passage, at different lengths, between different bytes: one suffix array holds the passage once, and every place is told."""
+    rng = random.Random(5)
+    left, middle, right = ("".join(rng.choices("abcdefgh", k=n)).encode() for n in (60, 10, 60))
+    contexts, texts = [], []
+    for i in range(40):
+        a, b = left[rng.randint(0, 40) :] if i else left, right[: rng.randint(20, 60)] if i else right
+        raw = bytes(rng.choices(b"ijklm", k=12)) + a + middle + b + bytes(rng.choices(b"nopqr", k=12))
+        at = 12 + len(a)
+        lo, hi = max(at - 30, 0), min(at + 40, len(raw))
+        contexts.append((7, at - lo, raw[lo:hi]))
+        texts.append(raw[lo:hi].decode())
+    parts = pd.thin_out(pd.Grams(40, 10, 10), contexts)
+    own = [k for k, p in enumerate(parts) if p[3] == k]
+    assert len(parts) == 40 and len(own) < 4
+    strings = [(contexts[parts[k][0]][2][parts[k][1] : parts[k][2]], contexts[parts[k][0]][1] - parts[k][1]) for k in own]
+    sorted_bytes = []
+    monkeypatch.setattr("quillbank.llm.lyndon_suffix.suffix_array", lambda text: sorted_bytes.append(len(text)) or suffix_array(text))
+    copies = np.array([(own.index(s), shift, b - a - 39) for _, a, b, s, shift in parts])
+    copy, lo, hi = pd.repeated_in(strings, copies, 40, 10)
+    assert sum(sorted_bytes) < 4 * 70
+    gone = [np.zeros(len(t) + 1, int) for t in texts]
+    for c, a, b in zip(copy, lo, hi, strict=True):
+        i, begin = parts[c][:2]
+        gone[i][begin + a : begin + b] = 1
+    assert [(int(g.sum()), int((np.diff(np.concatenate([[0], g])) == 1).sum())) for g in gone] == [w[1:3] for w in brute(texts, 40)]
+
+
+def test_large_suffix_array_of_copies():
+    """Groups of which few members are split at a time."""
+    rng = np.random.default_rng(1)
+    shared = rng.integers(1, 5, 120)
+    text = np.concatenate([np.concatenate([rng.integers(1, 5, rng.integers(0, 40)), shared[rng.integers(0, 60) :], [300 + k % 7, 0]]) for k in range(60)]).astype(np.int32)
+    ends = np.flatnonzero(text == 0)
+    upto = [ends[np.searchsorted(ends, i)] + 1 for i in range(len(text))]
+    got = suffix_array(text)
+    assert sorted(got.tolist()) == list(range(len(text)))
+    assert [tuple(text[i : upto[i]]) for i in got] == sorted(tuple(text[i : upto[i]]) for i in range(len(text)))
